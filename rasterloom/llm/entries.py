@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from . import bpe, html_extract, license_scan, token_counts
+from . import bpe, decontamination, html_extract, license_scan, line_dedup, quality_rules, token_counts
 
 
 def queries() -> dict:
     return {
+        "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_decontamination": decontamination.op3_decontamination,
         "op4_license_scan": license_scan.op4_license_scan,
         "op5_byte_bpe": bpe.op5_byte_bpe,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_html_extract": html_extract.op10_html_extract,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_decontamination": decontamination.OP3_SQL,
+        "op7_line_dedup": line_dedup.OP7_SQL,
+    }
