@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, html_extract, license_scan, line_dedup, quality_rules, sharding, token_counts
+from . import bpe, decontamination, html_extract, license_scan, line_dedup, ngram_join, quality_rules, sharding, token_counts
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_license_scan": license_scan.op4_license_scan,
         "op5_byte_bpe": bpe.op5_byte_bpe,
+        "op6_ngram_join": ngram_join.op6_ngram_join,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_sharding": sharding.op8_sharding,
         "op9_token_counts": token_counts.op9_token_counts,
