@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, html_extract, license_scan, line_dedup, ngram_join, quality_rules, sharding, token_counts
+from . import bpe, decontamination, html_extract, license_scan, line_dedup, ngram_join, quality_rules, sharding, suffix_dedup, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_license_scan": license_scan.op4_license_scan,
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_dedup": suffix_dedup.OP1_SQL,
         "op3_decontamination": decontamination.OP3_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
     }
