@@ -149,8 +149,13 @@ class Encoder:
             self.seen[piece] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
-        return [i for part in chunks(text) for piece in pieces(part) for i in self.ids(piece.encode())]
+    def encode(self, text: str) -> np.ndarray:
+        """Token ids, 32 bits each."""
+        parts = []
+        for part in chunks(text):
+            seen, look = self.seen, self.look
+            parts.append(np.array(" ".join([(seen[p] if p in seen else look(p))[0] for p in pieces(part)]).split(), np.int32))
+        return np.concatenate(parts)
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Count of tokens, digest of the ids, digest of what they decode to."""
@@ -195,8 +200,8 @@ def decode(ids: Column, spark: SparkSession, path: str) -> Column:
     return spelled(ids)
 
 
-def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: its id, n_tokens, ids_sha256, decoded_sha256.
+def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """A row for each document: its id, n_tokens, ids_sha256, decoded_sha256; with with_ids also token_ids.
 
     Null and empty texts have no tokens (digests of nothing); repeated rows and null ids give a row each; other
     columns are not read.  Very long texts are encoded in parts, so that few pre-tokens are held at a time.
@@ -204,12 +209,14 @@ def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "
     encoder = shared_encoder(docs.sparkSession, path)
 
     def make():
-        digest = encoder.value.digest
-        return lambda doc_id, text: (doc_id, *digest(text))
+        own = encoder.value
+        if with_ids:
+            return lambda doc_id, text: (doc_id, *own.digest(text), own.encode(text or ""))
+        return lambda doc_id, text: (doc_id, *own.digest(text))
 
     return per_row(
         docs.select(F.col(id_column).cast("long"), F.col(text)), make,
-        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
+        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if with_ids else ""),
     )
 
 
