@@ -1,11 +1,24 @@
 """Every query of the library by name, with the SQL that must give the same rows."""
 
-FLAGSHIP = ""
+from __future__ import annotations
+
+from importlib import import_module
+
+FLAGSHIP = "equalize"
+
+MODULES = ("operators.pointwise", "operators.neighbourhood")
+
+
+def _ops() -> dict:
+    found: dict = {}
+    for module in MODULES:
+        found |= import_module(f"rasterloom.{module}").OPS
+    return found
 
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _ops().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ops().items() if sql}
