@@ -6,7 +6,7 @@ from importlib import import_module
 
 FLAGSHIP = "equalize"
 
-MODULES = ("operators.pointwise", "operators.neighbourhood")
+MODULES = ("operators.pointwise", "operators.neighbourhood", "operators.aggregates", "operators.compositing")
 
 
 def _ops() -> dict:
