@@ -6,7 +6,10 @@ from importlib import import_module
 
 FLAGSHIP = "equalize"
 
-MODULES = ("operators.pointwise", "operators.neighbourhood", "operators.aggregates", "operators.compositing")
+MODULES = (
+    "operators.pointwise", "operators.neighbourhood", "operators.aggregates", "operators.compositing", "operators.scalars",
+    "operators.timeline", "operators.sequential", "sources.codecs",
+)
 
 
 def _ops() -> dict:
