@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 
-ORDER = Window.partitionBy("anim_id").orderBy("frame_no")
+def in_order():
+    return Window.partitionBy("anim_id").orderBy("frame_no")
 
 
 def lasting(delay: Column) -> Column:
@@ -28,7 +29,7 @@ def frames(s, d) -> DataFrame:
 def timed(df: DataFrame) -> DataFrame:
     """With the start of each frame and the end of the animation."""
     long = df.withColumn("delay_ms", lasting(F.col("delay_ms")).cast("long"))
-    before = ORDER.rowsBetween(Window.unboundedPreceding, -1)
+    before = in_order().rowsBetween(Window.unboundedPreceding, -1)
     return long.withColumn("start_ms", F.coalesce(F.sum("delay_ms").over(before), F.lit(0))).withColumn("total_ms", F.sum("delay_ms").over(Window.partitionBy("anim_id")))
 
 
@@ -50,7 +51,7 @@ def scaled(df: DataFrame, factor: float) -> DataFrame:
 
 def part(df: DataFrame, first: int, last: int) -> DataFrame:
     """Frames first up to last, exclusive, numbered anew."""
-    place = (F.row_number().over(ORDER) - 1).cast("long")
+    place = (F.row_number().over(in_order()) - 1).cast("long")
     return df.withColumn("place", place).filter((F.col("place") >= first) & (F.col("place") < last)).select("anim_id", (F.col("place") - first).alias("frame_no"), "delay_ms")
 
 
