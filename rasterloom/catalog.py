@@ -8,7 +8,7 @@ FLAGSHIP = "equalize"
 
 MODULES = (
     "operators.pointwise", "operators.neighbourhood", "operators.aggregates", "operators.compositing", "operators.scalars",
-    "operators.timeline", "operators.sequential", "sources.codecs",
+    "operators.arrangement", "operators.timeline", "operators.sequential", "sources.codecs",
 )
 
 
