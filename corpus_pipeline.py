@@ -44,7 +44,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and digests of the ids and of what they decode to."""
+    """Token ids of each document (32-bit numbers in a row), and digests of the ids and of what they decode to."""
     return bpe.digests(docs, vocabulary("byte_bpe_50k.tiktoken"), with_ids=True)
 
 

@@ -201,7 +201,8 @@ def decode(ids: Column, spark: SparkSession, path: str) -> Column:
 
 
 def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """A row for each document: its id, n_tokens, ids_sha256, decoded_sha256; with with_ids also token_ids.
+    """A row for each document: its id, n_tokens, ids_sha256, decoded_sha256; with with_ids also token_ids
+    (binary: 32-bit little-endian numbers, so that a corpus of ids is written as fast as it is made).
 
     Null and empty texts have no tokens (digests of nothing); repeated rows and null ids give a row each; other
     columns are not read.  Very long texts are encoded in parts, so that few pre-tokens are held at a time.
@@ -211,12 +212,12 @@ def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "
     def make():
         own = encoder.value
         if with_ids:
-            return lambda doc_id, text: (doc_id, *own.digest(text), own.encode(text or ""))
+            return lambda doc_id, text: (doc_id, *own.digest(text), own.encode(text or "").astype("<i4").tobytes())
         return lambda doc_id, text: (doc_id, *own.digest(text))
 
     return per_row(
         docs.select(F.col(id_column).cast("long"), F.col(text)), make,
-        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if with_ids else ""),
+        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids binary" if with_ids else ""),
     )
 
 

@@ -8,8 +8,9 @@ those of the benchmark in a join; each hit fixes how the two texts lie against o
 words are compared.
 
 The benchmark's side is broadcast while its words are counted to be at most `most_words`; beyond that the hashes
-are joined by a shuffle, whose skewed keys adaptive execution splits.  Texts aren't shuffled for the search; they
-are read again and joined with the hits (their documents and places) to be verified.
+are joined by a shuffle, whose skewed keys adaptive execution splits.  Texts aren't shuffled for the search.  They
+are read again to be verified, with the hits (documents and places) broadcast while these are counted to be at
+most `most_hits`; beyond that, the texts are shuffled once to meet them.
 """
 
 from __future__ import annotations
@@ -52,13 +53,13 @@ def seeds(words: Column, masks) -> Column:
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, substitutions: int = SUBSTITUTIONS, masks=MASKS,
-    most_words: int = 500_000,
+    most_words: int = 500_000, most_hits: int = 1_000_000,
 ) -> DataFrame:
     """A row for each document and item of which it holds a window: doc_id, item_id, first_word, last_word, n_equal.
 
     first_word and last_word are where leaked windows begin and end, in words (runs of letters and digits) of the
     document; n_equal counts the equal words in the best place.  Null and empty texts hold nothing; items of under
-    eight words are never found; rows with null ids are kept under null; repeated rows give one result; other
+    eight words or without an id are never found; documents with null ids are kept under null; repeated rows give one result; other
     columns are not read.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("item")).filter(F.size("item") >= LEAST)
@@ -78,19 +79,20 @@ def leaks(
         .select("doc_id", "doc_hash", "item_id", (F.col("place") - F.col("item_place")).alias("shift"))
         .distinct()
     )
-    places = keep(
-        hits.join(small(items), "item_id")
-        .groupBy("doc_id", "doc_hash")
-        .agg(F.collect_list(F.struct("item_id", "shift", "item")).alias("hits"))
+    # few documents hold a seed: broadcast what they are while it is counted to be small, else join by a shuffle
+    hits = keep(hits)
+    few = F.broadcast if hits.count() <= most_hits else (lambda df: df)
+    places = few(hits.groupBy(F.col("doc_id").alias("hit_id"), "doc_hash").agg(F.collect_list(F.struct("item_id", "shift")).alias("hits")))
+    both = texts.withColumn("own_hash", F.xxhash64("doc_text")).join(
+        places, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("own_hash") == F.col("doc_hash"))
     )
-    both = texts.join(
-        places.select(F.col("doc_id").alias("hit_id"), F.col("doc_hash"), "hits"),
-        F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("doc_text") == F.col("doc_hash")),
+    sides = (
+        both.select("doc_id", word_hashes(F.col("doc_text")).alias("words"), F.explode("hits").alias("hit"))
+        .select("doc_id", "words", F.col("hit.item_id").alias("item_id"), F.col("hit.shift").alias("shift")).join(small(items), "item_id")
     )
-    sides = both.withColumn("words", word_hashes(F.col("doc_text"))).drop("doc_text").withColumn("hit", F.explode("hits"))
-    length = F.size(F.col("hit.item"))
-    equal = F.transform(F.col("hit.item"), lambda w, i: F.when(
-        (i + F.col("hit.shift") >= 0) & (F.get(F.col("words"), F.greatest(i + F.col("hit.shift"), F.lit(0))) == w), 1).otherwise(0))
+    length = F.size(F.col("item"))
+    equal = F.transform(F.col("item"), lambda w, i: F.when(
+        (i + F.col("shift") >= 0) & (F.get(F.col("words"), F.greatest(i + F.col("shift"), F.lit(0))) == w), 1).otherwise(0))
     most = F.least(length, F.lit(window))
     allowed = F.when(length >= window, substitutions).otherwise(0)
 
@@ -101,10 +103,10 @@ def leaks(
         sides.withColumn("equal", equal)
         .withColumn("windows", let(F.col("equal"), good))
         .filter(F.size("windows") > 0)
-        .groupBy("doc_id", F.col("hit.item_id").alias("item_id"))
+        .groupBy("doc_id", "item_id")
         .agg(
-            F.min(F.greatest(F.array_min("windows") + F.col("hit.shift"), F.lit(0))).cast("long").alias("first_word"),
-            F.max(F.least(F.array_max("windows") + F.col("hit.shift") + most, F.size("words")) - 1).cast("long").alias("last_word"),
+            F.min(F.greatest(F.array_min("windows") + F.col("shift"), F.lit(0))).cast("long").alias("first_word"),
+            F.max(F.least(F.array_max("windows") + F.col("shift") + most, F.size("words")) - 1).cast("long").alias("last_word"),
             F.max(F.aggregate("equal", F.lit(0), lambda a, x: a + x)).cast("long").alias("n_equal"),
         )
     )

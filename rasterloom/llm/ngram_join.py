@@ -8,7 +8,7 @@ Candidates.  Two sets of similarity t share one of the first n - ceil(t n) + 1 n
 shuffled.  Those that one class alone has are dropped.  In place of all pairs of an n-gram's classes, each is first
 compared with the smallest only; that joins groups of near copies into components with as many comparisons as
 rows.  Then only n-grams whose classes still lie in different components give pairs, between components, within
-the bounds on size and place.  So no link between components is missed; links within one add nothing.
+the bound on size.  So no link between components is missed; links within one add nothing.
 
 Comparison.  The sets to be compared with one set are brought into order, which is the depth-first order of
 their prefix tree: from one to the next, the shared part keeps its partial overlaps, and a set is left (with the
@@ -198,33 +198,30 @@ def groups(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     named = docs.filter("doc_id IS NOT NULL")
     levels = spark.sparkContext.broadcast(frequency_levels(named, n))
     every = keep(sets(docs, n, threshold, levels))
-    some = every.filter("size > 0 AND doc_id IS NOT NULL")
-    classes = keep(some.groupBy("print").agg(F.min("doc_id").alias("rep")))
-    firsts = some.join(classes, (some.print == classes.print) & (some.doc_id == classes.rep)).select("rep", "size", "prefix")
-    keys = firsts.select("rep", "size", F.posexplode("prefix").alias("pos", "key"))
+    # a class is represented by its smallest document, and brings that one's prefix along: prefixes are shuffled once
+    first = F.min(F.struct("doc_id", "size", "prefix")).alias("m")
+    classes = keep(every.filter("size > 0 AND doc_id IS NOT NULL").groupBy("print").agg(first).select("print", F.col("m.doc_id").alias("rep"), "m.size", "m.prefix"))
+    keys = classes.select("rep", "size", F.explode("prefix").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most").drop("most")
-    members = keep(keys.join(shared, "key"))
+    # what is joined here grows with the input, so it is never broadcast
+    members = keep(keys.join(shared.hint("merge"), "key"))
     near = lambda a, b: (F.least(a, b) >= F.lit(threshold) * F.greatest(a, b) - 1e-9)
-    sizes = firsts.select(F.col("rep").alias("a"), F.col("size").alias("a_size"))
-    stars = (
+    sizes = classes.select(F.col("rep").alias("a"), F.col("size").alias("a_size"))
+    stars = keep(
         members.filter("least <> rep").select(F.col("least").alias("a"), F.col("rep").alias("b"), "size").distinct()
-        .join(sizes, "a").filter(near(F.col("size"), F.col("a_size"))).select("a", "b").distinct()
+        .join(sizes, "a").filter(near(F.col("size"), F.col("a_size"))).select("a", "b")
     )
-    stars = keep(stars)
-    texts = packed(named).join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = keep(texts)
+    texts = keep(packed(named).join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"))
     links = keep(verified(stars, texts, n, threshold, levels))
     found = keep(components(links))
     held = members.join(found, members.rep == found.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
     mixed = held.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key")
     split = keep(held.join(mixed, "key"))
     a, b = split.alias("a"), split.alias("b")
-    need = F.lit(threshold / (1 + threshold)) * (F.col("a.size") + F.col("b.size")) - 1e-9
-    reach = F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
     across = (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & near(F.col("a.size"), F.col("b.size")) & (reach >= need))
+        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & near(F.col("a.size"), F.col("b.size")))
         .select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-        .join(stars.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti")
+        .join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     )
     more = keep(verified(keep(across), texts, n, threshold, levels))
     if more.isEmpty():
