@@ -4,10 +4,10 @@ The standard library's parser streams events.  They fill lines: a block element
 knows its text, its tags, the container it stands in, and whether a container around it says by its name that
 it isn't the article (menus, adverts, comments and so on).  A line's text-to-tag ratio is its characters for each
 tag; ratios are smoothed by a Gaussian along the page, and lines over the threshold (a share of the standard
-deviation) form clusters.  The clusters choose the content region: of the containers that can hold an article,
-the one that holds most of the clustered text; without such containers, the run of lines from the first to the
-last clustered line, headings before it included.  From the region every line stays, however short, but for
-those in containers that are named as something else.
+deviation) form clusters.  The clusters choose between the outermost containers that can hold an article and the
+page itself, by the clustered text inside and outside of these containers.  From what is chosen every line stays,
+however short, but for lines in containers that are named as something else, and for what is mostly links and
+that no cluster reaches: whole containers, or lines of the page.
 
 No shuffle: pages are mapped where they are read.
 """
@@ -35,6 +35,7 @@ OUTSIDE = frozenset(
     "head title script style template noscript iframe object svg canvas math nav footer aside form button select "
     "textarea menu dialog search datalist audio video".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEAD = frozenset("head title meta link style script base noscript template".split())
 #: Words of class, id and role that name what isn't the article.
 NAMES = frozenset(
@@ -53,7 +54,7 @@ class Line:
     tags: int = 0
     outside: bool = False
     region: int = 0
-    heading: bool = False
+    linked: int = 0  # characters inside links
 
     text = ""
 
@@ -64,30 +65,30 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int]] = []  # element, whether it is outside, region it stands in
-        self.inside: list[int] = [-1]  # of each region: the region around it
+        # element, whether it is outside, the outermost region it stands in (0: the page), whether it is in a link
+        self.open: list[tuple[str, bool, int, bool]] = []
+        self.regions = 1
         self.line = Line()
 
-    def begin_line(self, tag: str = "") -> None:
+    def begin_line(self) -> None:
         if self.line.parts:
             self.line.text = " ".join("".join(self.line.parts).split())
             self.line.parts = []
             if self.line.text:
                 self.lines.append(self.line)
                 self.line = Line()
-        _, outside, region = self.open[-1] if self.open else ("", False, 0)
+        _, outside, region, _ = self.open[-1] if self.open else ("", False, 0, False)
         self.line.outside, self.line.region = outside, region
-        self.line.heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag not in HEAD:
-            while self.open and any(name == "head" for name, _, _ in self.open):
+            while self.open and any(x[0] == "head" for x in self.open):
                 self.open.pop()
         block = tag in BLOCK
-        around = self.open[-1] if self.open else ("", False, 0)
+        around = self.open[-1] if self.open else ("", False, 0, False)
         if tag in VOID:
             if block:
-                self.begin_line(tag)
+                self.begin_line()
             self.line.tags += 1
             if tag == "br":
                 self.line.parts.append(" ")
@@ -100,17 +101,17 @@ class Lines(HTMLParser):
                 words -= {"content", "main", "article", "post", "entry", "story"}
             hidden = any(k == "hidden" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
             outside = outside or hidden or bool(words & NAMES)
-            holds = tag in ("article", "main") or block and bool(ARTICLE.search(said))
+            holds = tag in ("article", "main") or block and tag not in HEADINGS and bool(ARTICLE.search(said))
         else:
             holds = tag in ("article", "main")
         if tag == "header" and not region:
             outside = True  # that of the page; an article's own header holds its title
-        if holds and not outside:
-            self.inside.append(region)
-            region = len(self.inside) - 1
-        self.open.append((tag, outside, region))
+        if holds and not outside and not region:
+            region = self.regions
+            self.regions += 1
+        self.open.append((tag, outside, region, around[3] or tag == "a"))
         if block or outside != around[1]:
-            self.begin_line(tag)
+            self.begin_line()
         self.line.tags += 1
 
     def handle_startendtag(self, tag: str, attrs) -> None:
@@ -119,7 +120,7 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "p" and not any(name == "p" for name, _, _ in self.open):
+        if tag == "p" and not any(x[0] == "p" for x in self.open):
             self.begin_line()
             return
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), -1)
@@ -132,6 +133,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.line.parts.append(data)
+        if self.open and self.open[-1][3]:
+            self.line.linked += len("".join(data.split()))
 
 
 def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -157,29 +160,21 @@ def main_text(html: str | None, share: float = 0.5) -> str:
         return ""
     ratios = smooth(np.array([len(x.text) / max(1, x.tags) for x in lines], float))
     clustered = ratios >= share * ratios.std()
-    weight = np.zeros(len(page.inside))
+    reached = np.zeros(page.regions)
     for x, chosen in zip(lines, clustered):
-        weight[x.region] += len(x.text) if chosen else 0
-    for region in range(len(weight) - 1, 0, -1):  # a region's text is also that of the regions around it
-        weight[page.inside[region]] += weight[region]
-    holding = [r for r in range(1, len(weight)) if weight[r] > 0] or list(range(1, len(weight)))
-    if holding:
-        # the largest; of regions one in another that hold nearly the same text, the innermost
-        best = max(holding, key=lambda r: (weight[r], -r))
-        while inner := [r for r in holding if page.inside[r] == best and weight[r] >= 0.8 * weight[best]]:
-            best = max(inner, key=lambda r: weight[r])
-        member = {best}
-        for r in range(best + 1, len(weight)):
-            if page.inside[r] in member:
-                member.add(r)
-        return "\n".join(x.text for x in lines if x.region in member)
-    chosen = np.flatnonzero(clustered)
-    if not len(chosen):
-        return ""
-    first, last = int(chosen[0]), int(chosen[-1])
-    while first and lines[first - 1].heading:
-        first -= 1
-    return "\n".join(x.text for x in lines[first : last + 1])
+        reached[x.region] += len(x.text) if chosen else 0
+    whole = reached[0] > reached[1:].sum() or not reached[1:].any()
+    # what is judged at once: lines of the page, or all of a container
+    units: dict[int, list[int]] = {}
+    for i, x in enumerate(lines):
+        if whole or x.region:
+            units.setdefault(i if whole else x.region, []).append(i)
+    stay = []
+    for unit in units.values():
+        linked = sum(lines[i].linked for i in unit)
+        if clustered[unit].any() or 2 * linked <= sum(len("".join(lines[i].text.split())) for i in unit):
+            stay += unit
+    return "\n".join(lines[i].text for i in sorted(stay))
 
 
 def extract(pages: DataFrame, html: str = "html", id_column: str = "page_id", url: str = "url") -> DataFrame:

@@ -146,3 +146,19 @@ def test_pages_of_the_tables():
         blocks = re.split(r"</?(?:p|h1)\b[^>]*>", inner)
         want = [" ".join(h.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in blocks]
         assert html_extract.main_text(html).split("\n") == [w for w in want if w]
+
+
+def test_pages_keep_all_of_the_article():
+    text = html_extract.main_text
+    body = "".join(f"<p>{'sentence after sentence ' * 8}{i}.</p>" for i in range(5))
+    inner = text(f"<body><article><h1>Title</h1><div class='entry-content'>{body}</div><p>closing</p></article></body>").split("\n")
+    assert (inner[0], inner[-1], len(inner)) == ("Title", "closing", 7)
+    headed = text(f"<body><h1 class='entry-title'>Title</h1><div>{body}</div></body>").split("\n")
+    assert headed[0] == "Title" and len(headed) == 6
+    # the named container holds a byline, the text stands elsewhere
+    assert text(f"<body><div class='post-meta'>By A.</div><div>{body}</div></body>").split("\n")[0] == "By A."
+    plain = text(f"<body><p>By A.</p><p>Monday</p>{body}<p>Short end.</p><p>More.</p><p>Bye.</p><p>End.</p></body>").split("\n")
+    assert plain[:2] == ["By A.", "Monday"] and plain[-1] == "End." and len(plain) == 11
+    # a long text beside the article is no reason to leave the article
+    assert text(f"<body><article><h1>T</h1>{body}</article><div>{'imprint ' * 30}</div></body>").count("\n") == 5
+    assert text(f"<body><div class='post-head'><h1>T</h1></div><div class='post-body'>{body}</div></body>").startswith("T\nsentence")
