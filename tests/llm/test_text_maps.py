@@ -162,3 +162,13 @@ def test_pages_keep_all_of_the_article():
     # a long text beside the article is no reason to leave the article
     assert text(f"<body><article><h1>T</h1>{body}</article><div>{'imprint ' * 30}</div></body>").count("\n") == 5
     assert text(f"<body><div class='post-head'><h1>T</h1></div><div class='post-body'>{body}</div></body>").startswith("T\nsentence")
+
+
+def test_smoothed_clusters_decide_what_stays(monkeypatch):
+    body = "".join(f"<p>{'sentence after sentence ' * 8}{i}.</p>" for i in range(3))
+    links = "<ul><li><a>Home</a></li><li><a>About</a></li><li><a>News</a></li><li><a>x</a></li></ul>"
+    page = f"<body>{links}<h1>Title</h1>{body}<p><a>Jane Doe</a></p>{body}</body>"
+    lines = html_extract.main_text(page).split("\n")
+    assert lines[4] == "Jane Doe" and lines[0] == "Title" and len(lines) == 8
+    monkeypatch.setattr(html_extract, "smooth", lambda values: values)
+    assert "Jane Doe" not in html_extract.main_text(page)
