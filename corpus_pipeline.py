@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of lines are deleted; a document of which nothing else is left goes."""
-    left = line_dedup.without_lines(docs, line_dedup.repeated_lines(docs))
+    """Later copies of runs of lines, and of lines of five words or with ten copies, are deleted; a document of which nothing else is left goes."""
+    left = line_dedup.without_lines(docs, line_dedup.repeated_lines(docs, **line_dedup.SHORT))
     some = F.length(F.translate("text", quality_rules.BLANKS, "")) > 0
     left = left.filter((F.col("d_n_deleted") == 0) | some)
     if "n_chars" in docs.columns:

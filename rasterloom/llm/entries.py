@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op6_ngram_join": ngram_join.op6_ngram_join,
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op7_short_runs": line_dedup.op7_short_runs,
         "op8_sharding": sharding.op8_sharding,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_html_extract": html_extract.op10_html_extract,
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_suffix_dedup": suffix_dedup.OP1_SQL,
         "op3_decontamination": decontamination.OP3_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
+        "op7_short_runs": line_dedup.OP7_SHORT_SQL,
     }

@@ -6,6 +6,11 @@ place of its earliest member, so names are exact.  The members of a class are th
 suffix array whose common prefix has that many lines; classes of one member leave the intervals, and with them
 the tables.  A run of any length is then named by two overlapping runs of a power of two.
 
+Runs below `min_words` words have a criterion of their own, by lines: a line of `short_words` words or more, or one
+that has `short_copies` copies or more, goes where it stands again, alone or not.  A run with so many copies has
+lines with as many, so no longer runs need be named for it.  op7_line_dedup is without it (its SQL fixes the
+bound); op7_short_runs and the pipeline have it.
+
 A run counts if it has `min_words` words.  All lines of maximal repeated runs are those of repeated runs that are
 no longer than needed from their first line on, or back from their last line; each line with a word in it has at
 least one word, so these have at most `min_words` lines, and the number of doublings is fixed, not set by the
@@ -25,6 +30,8 @@ from .common import LAST_ID, keep, table
 from .quality_rules import BLANKS
 
 DOC = ["doc", "text_hash"]
+#: What makes a short line one to delete.
+SHORT = {"short_words": 5, "short_copies": 10}
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -52,7 +59,7 @@ def place() -> Column:
 
 def classes(rows: DataFrame, key: list[str]) -> DataFrame:
     """The keys that two places or more have, with the earliest as their name."""
-    return rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(place()).alias("name")).filter("n > 1").drop("n")
+    return rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(place()).alias("name")).filter("n > 1")
 
 
 def minimal_runs(lines: DataFrame, min_words: int) -> DataFrame:
@@ -77,15 +84,16 @@ def minimal_runs(lines: DataFrame, min_words: int) -> DataFrame:
     return row.select(*DOC, F.explode(runs).alias("run")).select(*DOC, "run.seq", "run.size")
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 25) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = 25, short_words: int | None = None, short_copies: int | None = None) -> DataFrame:
     """doc, text_hash, deleted: the places of lines to delete, ascending, of the documents that have any.
 
     doc is the doc_id (LAST_ID for null).  A line is deleted if it lies in a run of lines with min_words words or
     more (blank lines don't count) that also stands earlier: in a document with a smaller doc_id, or further up
-    in the same text.  Null and empty texts have no lines; a repeated row counts once; other columns aren't read.
+    in the same text; and if it stands earlier by itself and has short_words words or more, or short_copies copies
+    or more in all (None: not for this).  Null and empty texts have no lines; a repeated row counts once; other columns aren't read.
     """
     every = keep(lines_of(docs).distinct())
-    lines = keep(every.join(classes(every, ["a", "b"]), ["a", "b"]).select(*DOC, "seq", "pos", "n_words", "name"))
+    lines = keep(every.join(classes(every, ["a", "b"]), ["a", "b"]).select(*DOC, "seq", "pos", "n_words", "name", "n"))
     level, levels = lines.select(*DOC, "seq", "name"), []
     doublings = max(0, (min_words - 1).bit_length())
     for k in range(doublings + 1):
@@ -106,7 +114,15 @@ def repeated_lines(docs: DataFrame, min_words: int = 25) -> DataFrame:
     )
     first = named.groupBy("size", "head", "tail").agg(F.count("*").alias("n"), F.min(place()).alias("first")).filter("n > 1").drop("n")
     later = named.join(first, ["size", "head", "tail"]).filter(F.col("first") != place())
-    gone = later.select(*DOC, F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("size") - 1)).alias("seq")).distinct()
+    gone = later.select(*DOC, F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("size") - 1)).alias("seq"))
+    if short_words is not None or short_copies is not None:
+        often = F.lit(False)
+        if short_words is not None:
+            often |= F.col("n_words") >= short_words
+        if short_copies is not None:
+            often |= F.col("n") >= short_copies
+        gone = gone.unionByName(lines.filter((F.col("name") != place()) & often).select(*DOC, "seq"))
+    gone = gone.distinct()
     return gone.join(lines, [*DOC, "seq"]).groupBy(*DOC).agg(F.sort_array(F.collect_list("pos")).alias("deleted"))
 
 
@@ -123,15 +139,25 @@ def without_lines(docs: DataFrame, deleted: DataFrame) -> DataFrame:
     )
 
 
-def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: lines deleted, and the digest of the text that is left (null: empty)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return without_lines(docs, repeated_lines(docs)).select(
+def left_of(docs: DataFrame, deleted: DataFrame) -> DataFrame:
+    return without_lines(docs, deleted).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("d_n_deleted").alias("n_deleted"),
         F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"),
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines deleted, and the digest of the text that is left (null: empty)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return left_of(docs, repeated_lines(docs))
+
+
+def op7_short_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op7_line_dedup, with the criterion for short runs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return left_of(docs, repeated_lines(docs, **SHORT))
+
+
 OP7_SQL = r"""
 WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
 l AS (SELECT doc_id, unnest(s) AS line, unnest(range(len(s))) AS pos FROM t),
@@ -150,3 +176,11 @@ o AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text FROM l
 SELECT t.doc_id, coalesce(h.n, 0) AS n_deleted, sha256(coalesce(o.text, '')) AS kept_sha256
 FROM t LEFT JOIN h USING (doc_id) LEFT JOIN o USING (doc_id)
 """
+
+#: As OP7_SQL, with the lines that the criterion for short runs deletes.
+OP7_SHORT_SQL = OP7_SQL.replace(
+    "\nh AS (",
+    "\nc AS (SELECT line, min((doc_id, pos)) AS first, count(*) AS n FROM w WHERE nw > 0 GROUP BY line),"
+    "\ns AS (SELECT doc_id, pos FROM g UNION SELECT w.doc_id, w.pos FROM w JOIN c USING (line)"
+    " WHERE nw > 0 AND (w.doc_id, w.pos) > c.first AND (nw >= 5 OR n >= 10)),\nh AS (",
+).replace("FROM g GROUP BY", "FROM s GROUP BY").replace("FROM l ANTI JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos", "FROM l ANTI JOIN s ON l.doc_id = s.doc_id AND l.pos = s.pos")

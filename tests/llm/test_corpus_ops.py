@@ -287,3 +287,17 @@ def test_pipeline(spark, docs, rows, tmp_path):
     assert {r.doc_id for r in last} == ids and all(len(r.token_ids) == 4 * r.n_tokens for r in last)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_short_runs(spark):
+    import corpus_pipeline as pipeline
+
+    boiler = "all rights are reserved by the owner here"  # 8 words
+    texts = [f"own first line {i} of this one\n{boiler}\ntwo words\nonly {i}" for i in range(9)] + [f"{boiler}\nlast one of these here\n{boiler}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r.doc_id: r.text.split("\n") for r in pipeline.lines(spark, docs, "").collect()}
+    assert [sum(t.count(boiler) for t in left.values()), left[0][1], left[9]] == [1, boiler, ["last one of these here"]]
+    assert all("two words" in left[i] for i in range(9))  # nine copies of a short line stay
+    more = docs.union(spark.createDataFrame([(10, "two words\nand more text than that")], docs.schema))
+    left = {r.doc_id: r.text.split("\n") for r in pipeline.lines(spark, more, "").collect()}
+    assert [i for i in sorted(left) if "two words" in left[i]] == [0] and left[10] == ["and more text than that"]
