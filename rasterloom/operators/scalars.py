@@ -83,6 +83,9 @@ OPS = {
         lines(min_="least(a, b, c)", max_="greatest(a, b, c)", sum_="a + b + c", avg_="(a + b + c) / 3", modulo_="a % (b + 1)")),
     "base64_text": (lambda s, d: table(s, d, "benchmark").select("item_id", text.base64_encoded(F.col("text")).alias("code"), text.base64_lenient(text.base64_encoded(F.col("text"))).cast("string").alias("back")), "SELECT item_id, to_base64(encode(text)) AS code, text AS back FROM benchmark"),
     "hex_text": (lambda s, d: table(s, d, "benchmark").select("item_id", F.lower(F.hex("text")).alias("code"), text.hex_decoded(F.concat(F.lit(" 0x"), F.hex("text"))).cast("string").alias("back")), "SELECT item_id, lower(hex(encode(text))) AS code, text AS back FROM benchmark"),
+    "base64_documents": (lambda s, d: table(s, d, "documents").select("doc_id", text.base64_encoded(F.col("text")).alias("code"), text.base64_lenient(text.base64_encoded(F.col("text"))).cast("string").alias("back")), "SELECT doc_id, to_base64(encode(text)) AS code, text AS back FROM documents"),
+    "hex_documents": (lambda s, d: table(s, d, "documents").select("doc_id", F.lower(F.hex("text")).alias("code"), text.hex_decoded(F.concat(F.lit(" 0x"), F.hex("text"))).cast("string").alias("back")), "SELECT doc_id, lower(hex(encode(text))) AS code, text AS back FROM documents"),
+    "trim_documents": (lambda s, d: table(s, d, "documents").select("doc_id", text.trim(F.col("text")).alias("text")), "SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM documents"),
     "glob_urls": (lambda s, d: table(s, d, "pages").select("page_id", text.glob(F.col("url"), "http?://*.example.net/*").alias("fits")), "SELECT page_id, url GLOB 'http?://*.example.net/*' AS fits FROM pages"),
     "split_urls": (lambda s, d: table(s, d, "pages").select("page_id", F.explode(text.split(F.col("url"), "/")).alias("part")), "SELECT page_id, unnest(CASE WHEN p[-1] = '' THEN p[1:-2] ELSE p END) AS part FROM (SELECT page_id, string_split(url, '/') AS p FROM pages)"),
     "trim_words": (lambda s, d: table(s, d, "benchmark").select("item_id", text.trim(F.substring("text", 1, 30)).alias("start")), "SELECT item_id, trim(substr(text, 1, 30), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS start FROM benchmark"),

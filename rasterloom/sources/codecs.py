@@ -28,8 +28,9 @@ def pgm(values: Column, width: int, height: int) -> Column:
 
 def read_pgm(data: Column) -> dict[str, Column]:
     """width, height and v of a binary gray map with one-byte samples; null where it isn't one; missing samples are 0."""
-    text = F.decode(F.substring(data, F.lit(1), F.lit(64)), "ISO-8859-1")
-    pattern = r"(?s)^P5\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s"
+    text = F.decode(data, "ISO-8859-1")
+    gap = r"\s++(?:#[^\n]*+\n\s*+)*+"  # possessive: no stack for each comment
+    pattern = rf"(?s)^P5{gap}(\d+){gap}(\d+){gap}(\d+)\s"
     head = F.regexp_extract(text, pattern, 0)
     number = lambda k: F.regexp_extract(text, pattern, k).try_cast("int")
     width, height = number(1), number(2)

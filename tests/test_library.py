@@ -78,3 +78,10 @@ def test_stream_of_players_is_the_batch(spark, tmp_path):
     for r in sorted(advanced(ticks).collect(), key=lambda r: r.seq):
         last[r.player_id] = (r.frame, r.loops, r.finished)
     assert found == last and sum(SHOW) == 275
+
+
+def test_pgm_headers_have_no_byte_limit(spark):
+    body = bytes([1, 2, 3, 250, 251, 0])
+    heads = [b"P5\n#" + b"long " * 5000 + b"\n3 2\n255\n", b"P5\n" + b"# one of many\n" * 20000 + b"3 2\n255\n", b"P5 3\n# width\n2 # height\n255\n"]
+    rows = spark.createDataFrame([(h + body,) for h in heads], "d binary").select(*[v.alias(k) for k, v in read_pgm(F.col("d")).items()]).collect()
+    assert all((r.width, r.height, r.v) == (3, 2, list(body)) for r in rows)
