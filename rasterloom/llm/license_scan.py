@@ -92,7 +92,7 @@ class Scanner:
                 # a window begins and ends at whole words, so that what stands around it doesn't count as an edit
                 start = words.rfind(b" ", 0, start) + 1
                 end = len(words) if (stop := words.find(b" ", end)) < 0 else stop
-                for m in pattern.finditer(words, start, end, overlapped=True):
+                for m in matches(pattern, words, start, end):
                     size, edits = m.end() - m.start(), sum(m.fuzzy_counts)
                     if m[0].count(b" ") == phrase.count(b" ") or edits:
                         places[m.start()] = (size, edits)
@@ -103,6 +103,19 @@ class Scanner:
         return found
 
 
+def matches(pattern, words: bytes, start: int, end: int):
+    """The best match between two places, and those of what stands before it and of what begins after its first word."""
+    parts = [(start, end)]
+    while parts:
+        start, end = parts.pop()
+        if m := pattern.search(words, start, end):
+            yield m
+            if m.start() > start:
+                parts.append((start, m.start() - 1))
+            if after := words.find(b" ", m.start() + 1, end) + 1:
+                parts.append((after, end))
+
+
 def joined(windows: list[list[int]]) -> list[list[int]]:
     windows.sort()
     out = [windows[0]]

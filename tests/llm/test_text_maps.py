@@ -172,3 +172,15 @@ def test_smoothed_clusters_decide_what_stays(monkeypatch):
     assert lines[4] == "Jane Doe" and lines[0] == "Title" and len(lines) == 8
     monkeypatch.setattr(html_extract, "smooth", lambda values: values)
     assert "Jane Doe" not in html_extract.main_text(page)
+
+
+def test_an_inexact_notice_before_an_exact_one():
+    spans = license_scan.Scanner().ready().spans
+    exact, inexact = "under the mit license", ("under the mit licence", "under the mit lisence", "undr the mit license")
+    import random
+
+    rng = random.Random(4)
+    for _ in range(40):
+        parts = [rng.choice((exact, *inexact)) for _ in range(rng.randint(2, 6))]
+        want = [(4 * i, 0 if part == exact else spans(license_scan.normalise(part))[0].edits) for i, part in enumerate(parts)]
+        assert sorted((s.first_word, s.edits) for s in spans(license_scan.normalise(" ".join(parts)))) == want
