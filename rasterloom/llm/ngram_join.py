@@ -5,22 +5,29 @@ each.  All sets are ordered alike: by how often an n-gram's bucket was counted (
 documents, kept as powers of two), then by hash; rare n-grams come first.
 
 Candidates.  Two sets of similarity t share one of the first n - ceil(t n) + 1 n-grams of either.  Only these are
-shuffled.  Those that one class alone has are dropped.  In place of all pairs of an n-gram's classes, each is first
-compared with the smallest only; that joins groups of near copies into components with as many comparisons as
-rows.  Then only n-grams whose classes still lie in different components give pairs, between components, within
-the bound on size.  So no link between components is missed; links within one add nothing.
-
-Comparison.  The sets to be compared with one set are brought into order, which is the depth-first order of
-their prefix tree: from one to the next, the shared part keeps its partial overlaps, and a set is left (with the
-rest of the subtree) as soon as the partial overlap and the smaller remaining length can't reach the threshold.
-Sets that very many others are compared with are given to several tasks, by a hash of the others.
+shuffled, with their place in the set: if the first n-gram that two sets share stands at place i of one and j of
+the other, they share at most the smaller of n - i and m - j.  N-grams that one class alone has are dropped.  In
+place of all pairs of an n-gram's classes, each is first compared with one of them only, that in which the n-gram
+comes first (a copy with edits of its own has rare n-grams in front); that joins groups of near copies into
+components with as many comparisons as rows.  Only n-grams whose classes still lie in different components are
+looked at again: the classes outside of the n-gram's largest component search prefix trees of all its classes, in
+blocks of bounded size, and only pairs that the bounds admit leave a task.  So no link between components is
+missed; links within one add nothing.
+
+Trees.  A PrefixTree stores sets, or as much of them as is known, in a trie with a run of keys on each edge.  A
+search goes down from the root and carries the overlap so far, which all sets of a subtree share; a subtree is
+left as soon as that overlap and the smaller remaining length can't reach what its smallest set needs.  Candidates
+are searched for in trees of the TAIL keys that follow the shared n-gram, pairs are verified in trees of whole
+sets.  Sets that very many others are compared with are given to several tasks, by a hash of the others.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +42,8 @@ from .components import components
 #: Counters of the table that orders n-grams, as a power of two, and of one row of it.
 BUCKET_BITS, ROW_BITS = 22, 16
 IN_GROUP = 256
+#: Classes in a tree of candidates, and the keys of each that it holds.
+IN_TREE, TAIL = 1024, 16
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -126,34 +135,106 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, z binary")
 
 
-def alike(left: np.ndarray, others: list[tuple[int, np.ndarray]], threshold: float) -> list[int]:
-    """Which of the others (id, set in global order) reach the threshold with left: a walk over their prefix tree."""
-    found, n = [], len(left)
-    others = sorted(others, key=lambda o: o[1].astype(">u8").tobytes())
-    before, partial = np.zeros(0, np.uint64), np.zeros(1, np.int64)  # partial[k]: overlap of the first k keys
-    for other, keys in others:
-        m = len(keys)
-        need = ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
-        k = min(m, len(before), len(partial) - 1)
-        differ = np.flatnonzero(keys[:k] != before[:k])
-        k = int(differ[0]) if len(differ) else k
-        partial = partial[: k + 1]
-        step = 64
-        while k < m:
-            rest = n - int(np.searchsorted(left, keys[k]))  # of left, what may still come
-            if partial[k] + min(m - k, rest) < need:
-                break
-            part = keys[k : k + step]
-            at = np.minimum(np.searchsorted(left, part), n - 1)
-            partial = np.concatenate([partial, partial[k] + np.cumsum(left[at] == part)])
-            k = min(m, k + step)
-            step *= 2
-        before = keys
-        if k == m:
-            both = int(partial[m])
-            if both >= threshold * (n + m - both) - 1e-9:
-                found.append(other)
-    return found
+class Stored(NamedTuple):
+    """A set in a tree: its size, and its keys in global order as far as they are known.
+
+    `span` is how many keys the set has from the first of `keys` on; keys before it are taken not to be shared.
+    """
+
+    id: int
+    keys: np.ndarray
+    size: int
+    span: int
+
+
+class Node(NamedTuple):
+    start: int  # depth at which the edge to the node begins
+    end: int
+    of: np.ndarray  # keys of one of its sets
+    leaves: list[Stored]
+    below: list["Node"]
+    least: int  # smallest and largest size, and longest span, of the sets at and below the node
+    most: int
+    span: int
+
+
+class PrefixTree:
+    def __init__(self, sets: list[Stored], threshold: float):
+        self.threshold = threshold
+        ordered_sets = sorted(sets, key=lambda s: s.keys.astype(">u8").tobytes())
+        self.root = self.grown(ordered_sets) if sets else None
+
+    def grown(self, sets: list[Stored]) -> Node:
+        """The tree of sets in order, built from its leaves up without recursion."""
+        todo, done = [(0, len(sets), 0, None)], {}
+        opened = []
+        while todo:
+            first, last, depth, parent = todo.pop()
+            a, b = sets[first].keys, sets[last - 1].keys
+            k = min(len(a), len(b))
+            differ = np.flatnonzero(a[depth:k] != b[depth:k])
+            end = depth + int(differ[0]) if len(differ) else k
+            number = len(opened)
+            i = first
+            while i < last and len(sets[i].keys) == end:
+                i += 1
+            opened.append((first, i, last, depth, end, parent))
+            while i < last:
+                key, j = sets[i].keys[end], i + 1
+                while j < last and sets[j].keys[end] == key:
+                    j += 1
+                todo.append((i, j, end, number))
+                i = j
+        for number in range(len(opened) - 1, -1, -1):
+            first, leaves, last, depth, end, parent = opened[number]
+            inside = sets[first:last]
+            node = Node(
+                depth, end, sets[first].keys, sets[first:leaves], done.pop(number, []),
+                min(s.size for s in inside), max(s.size for s in inside), max(s.span for s in inside),
+            )
+            if parent is None:
+                return node
+            done.setdefault(parent, []).append(node)
+
+    def need(self, n: int, m: int) -> int:
+        return ceil(self.threshold / (1 + self.threshold) * (n + m) - 1e-9)
+
+    def search(self, left: Stored) -> list[int]:
+        """The stored sets that can reach the threshold with left; with all keys known on both sides, those that do."""
+        found, keys, n = [], left.keys, left.size
+        smallest, largest = ceil(self.threshold * n - 1e-9), int(n / self.threshold + 1e-9)
+        todo = [(self.root, 0)] if self.root else []
+        while todo:
+            node, overlap = todo.pop()
+            if node.most < smallest or node.least > largest:
+                continue
+            need, k, step = self.need(n, max(node.least, smallest)), node.start, 64
+            while k < node.end:
+                at = int(np.searchsorted(keys, node.of[k]))
+                if overlap + min(node.span - k, left.span - at) < need or at == len(keys):
+                    break
+                part = node.of[k : min(k + step, node.end)]
+                part = part[: int(np.searchsorted(part, keys[-1], side="right"))]
+                places = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
+                overlap += int(np.count_nonzero(keys[places] == part))
+                k += len(part)
+                step *= 2
+            if k < node.end:
+                if overlap + min(node.span - k, left.span - at) < need:
+                    continue
+                # left's known keys end before this one: what is below is judged by lengths alone
+                rest, inside = left.span - len(keys), [node]
+                while inside:
+                    x = inside.pop()
+                    inside += x.below
+                    found += [s.id for s in x.leaves if overlap + min(s.span - k, rest) >= self.need(n, s.size)]
+                continue
+            for s in node.leaves:
+                known = int(np.searchsorted(keys, s.keys[-1], side="right")) if len(s.keys) else 0
+                if overlap + min(s.span - k, left.span - known) >= self.need(n, s.size):
+                    found.append(s.id)
+            todo += [(x, overlap) for x in node.below]
+        return found
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float, levels) -> DataFrame:
@@ -168,7 +249,8 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float, level
         group, lefts, others = None, [], []
 
         def links():
-            out = sorted({(group[0], o) for x in lefts for o in alike(x, others, threshold)}) if group else []
+            tree = PrefixTree([Stored(b, keys, len(keys), len(keys)) for b, keys in others], threshold)
+            out = sorted({(group[0], o) for x in lefts for o in tree.search(Stored(group[0], x, len(x), len(x)))})
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
@@ -187,6 +269,64 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float, level
     return both.mapInArrow(run, "a long, b long")
 
 
+def reach(a_size, a_pos, b_size, b_pos, threshold: float):
+    """Whether two sets whose first shared key stands at these places can reach the threshold (Columns)."""
+    both, n, m = F.least(a_size - a_pos, b_size - b_pos), F.least(a_size, b_size), F.greatest(a_size, b_size)
+    return (both >= F.lit(threshold / (1 + threshold)) * (a_size + b_size) - 1e-9) & (n >= F.lit(threshold) * m - 1e-9)
+
+
+def across(members: DataFrame, classes: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of classes in different components that share a key, as far as the bounds admit them.
+
+    members: rep, size, pos, key; classes: rep, prefix; found: node, component.  Of a key's classes those outside of
+    its largest component (the others need no comparison with one another) search trees of all of them.  Trees have
+    about IN_TREE classes; a search is dealt to all trees of its key, and the searches of a tree to several tasks.
+    """
+    held = members.join(found, members.rep == found.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+    counted = held.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = (
+        counted.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+        .select(
+            "key", F.col("main.component").alias("main"), F.ceil(F.col("n") / IN_TREE).cast("int").alias("trees"),
+            F.ceil((F.col("n") - F.col("main.n")) / (8 * IN_TREE)).cast("int").alias("searches"),
+        )
+    )
+    rows = keep(held.join(mixed.hint("merge"), "key"))
+    tails = (
+        rows.join(classes.select("rep", "prefix").hint("merge"), "rep")
+        .select("key", "rep", "size", "pos", "component", "main", "trees", "searches", F.slice("prefix", F.col("pos") + 1, TAIL).alias("tail"))
+    )
+    tree, search = F.pmod(F.xxhash64("rep"), F.col("trees")).cast("int"), F.pmod(F.xxhash64("rep"), F.col("searches")).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    columns = ["key", "tree", "search", "side", "rep", "size", "pos", "component", "tail"]
+    stored = tails.withColumn("tree", tree).withColumn("search", F.explode(each("searches"))).withColumn("side", F.lit(0)).select(*columns)
+    searching = (
+        tails.filter("component <> main").withColumn("tree", F.explode(each("trees"))).withColumn("search", search)
+        .withColumn("side", F.lit(1)).select(*columns)
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, trees, stored_sets, component = None, None, [], {}
+        for batch in batches:
+            out = set()
+            for key, t, s, side, rep, size, pos, own, tail in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, t, s) != group:
+                    group, trees, stored_sets, component = (key, t, s), None, [], {}
+                one = Stored(rep, np.array(tail, np.int64).view(np.uint64), size, size - pos)
+                if not side:
+                    stored_sets.append(one)
+                    component[rep] = own
+                    continue
+                if trees is None:  # rows of side 0 come first
+                    by_size = lambda x: x.size
+                    trees = [PrefixTree(list(g), threshold) for _, g in groupby(sorted(stored_sets, key=by_size), by_size)]
+                out.update((min(rep, other), max(rep, other)) for x in trees for other in x.search(one) if component[other] != own)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in sorted(out)], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    both = stored.unionByName(searching).repartition("key", "tree", "search").sortWithinPartitions("key", "tree", "search", "side")
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def groups(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
@@ -201,33 +341,22 @@ def groups(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     # a class is represented by its smallest document, and brings that one's prefix along: prefixes are shuffled once
     first = F.min(F.struct("doc_id", "size", "prefix")).alias("m")
     classes = keep(every.filter("size > 0 AND doc_id IS NOT NULL").groupBy("print").agg(first).select("print", F.col("m.doc_id").alias("rep"), "m.size", "m.prefix"))
-    keys = classes.select("rep", "size", F.explode("prefix").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most").drop("most")
+    keys = classes.select("rep", "size", F.posexplode("prefix").alias("pos", "key"))
+    # the class in which the n-gram comes first is the hub of all that have it
+    hubs = keys.groupBy("key").agg(F.min(F.struct("pos", "rep", "size")).alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
     # what is joined here grows with the input, so it is never broadcast
-    members = keep(keys.join(shared.hint("merge"), "key"))
-    near = lambda a, b: (F.least(a, b) >= F.lit(threshold) * F.greatest(a, b) - 1e-9)
-    sizes = classes.select(F.col("rep").alias("a"), F.col("size").alias("a_size"))
+    members = keep(keys.join(hubs.hint("merge"), "key"))
     stars = keep(
-        members.filter("least <> rep").select(F.col("least").alias("a"), F.col("rep").alias("b"), "size").distinct()
-        .join(sizes, "a").filter(near(F.col("size"), F.col("a_size"))).select("a", "b")
+        members.filter((F.col("hub.rep") != F.col("rep")) & reach(F.col("hub.size"), F.col("hub.pos"), F.col("size"), F.col("pos"), threshold))
+        .select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
     )
     texts = keep(packed(named).join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"))
     links = keep(verified(stars, texts, n, threshold, levels))
     found = keep(components(links))
-    held = members.join(found, members.rep == found.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-    mixed = held.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key")
-    split = keep(held.join(mixed, "key"))
-    a, b = split.alias("a"), split.alias("b")
-    across = (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & near(F.col("a.size"), F.col("b.size")))
-        .select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-        .join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    )
-    more = keep(verified(keep(across), texts, n, threshold, levels))
-    if more.isEmpty():
-        final = found
-    else:
-        final = keep(components(links.union(more)))
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = across(members, classes, found, threshold).join(tried, ["a", "b"], "left_anti")
+    more = keep(verified(keep(pairs), texts, n, threshold, levels))
+    final = found if more.isEmpty() else keep(components(links.union(more)))
     of_class = classes.join(final, classes.rep == final.node, "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     return (
         every.join(of_class, "print", "left")
