@@ -11,22 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import bpe, decontamination, line_dedup, ngram_join, quality_rules
-from rasterloom.llm.common import keep, table
+from rasterloom.llm.common import keep, table, unused
 from rasterloom.llm.pieces import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules' posterior rejects, or that fail the base rules, go."""
-    return quality_rules.judged(docs).filter("q_kept").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), "text")
+    return quality_rules.judged(whole, drop_text=True).filter("q_kept").select("whole.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of runs of lines, and of lines of five words or with ten copies, are deleted; a document of which nothing else is left goes."""
-    left = line_dedup.without_lines(docs, line_dedup.repeated_lines(docs, **line_dedup.SHORT))
+    deleted = unused(docs, "n_deleted")
+    left = line_dedup.without_lines(docs, line_dedup.repeated_lines(docs, **line_dedup.SHORT), deleted)
     some = F.length(F.translate("text", quality_rules.BLANKS, "")) > 0
-    left = left.filter((F.col("d_n_deleted") == 0) | some)
+    left = left.filter((F.col(deleted) == 0) | some)
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("d_n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        left = left.withColumn("n_chars", F.when(F.col(deleted) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return left.select(*docs.columns)
 
 
@@ -40,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("leak_id")), "left_anti").select(*docs.columns)
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["leak_id"]), "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

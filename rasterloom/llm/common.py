@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a local one only where it is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -86,6 +88,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as it takes to differ from all columns of docs."""
+    known = {c.lower() for c in docs.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def lower_az(text: Column) -> Column:
     """Lower-case A-Z alone; every other character stays."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -15,8 +15,9 @@ A run counts if it has `min_words` words.  All lines of maximal repeated runs ar
 no longer than needed from their first line on, or back from their last line; each line with a word in it has at
 least one word, so these have at most `min_words` lines, and the number of doublings is fixed, not set by the
 data.  Only the lines of repeated classes take part in any step after the first.  Every grouping is a groupBy
-(combined before it is shuffled) and a join back (split where skewed), never a window over a class: a line or a
-run that a third of all documents share meets in no one task.
+(combined before it is shuffled) and a join back, never a window over a class.  Classes with more than 1/PARTS of
+all lines, which can't be more than PARTS, are joined back in parts, so a line or a run that a third of all
+documents share meets in no one task.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, keep, table
-from .quality_rules import BLANKS
+from .quality_rules import BLANKS, let
 
 DOC = ["doc", "text_hash"]
 #: What makes a short line one to delete.
 SHORT = {"short_words": 5, "short_copies": 10}
+#: Classes of more members than this share of all lines, and than PART, are joined back in parts.
+PARTS, PART = 256, 1000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -62,6 +65,17 @@ def classes(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(place()).alias("name")).filter("n > 1")
 
 
+def joined_back(rows: DataFrame, classes: DataFrame, key: list[str], most: int) -> DataFrame:
+    """rows with the columns of their class (but n), without rows of no class; a class with n > most in parts of about most.
+
+    As n > most can hold for few classes only (see PARTS), these are broadcast to deal their rows.
+    """
+    often = classes.filter(F.col("n") > most).select(*key, F.ceil(F.col("n") / most).alias("parts"))
+    dealt = rows.join(F.broadcast(often), key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(*DOC, "seq"), F.col("parts")), F.lit(0))).drop("parts")
+    each = classes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / most) - 1)))
+    return dealt.join(each, [*key, "part"]).drop("part")
+
+
 def minimal_runs(lines: DataFrame, min_words: int) -> DataFrame:
     """Of unbroken repeated lines, the shortest runs of min_words words from each line on and back: doc, text_hash, seq, size."""
     row = lines.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("seq", "n_words"))).alias("rows"))
@@ -93,7 +107,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 25, short_words: int | None
     or more in all (None: not for this).  Null and empty texts have no lines; a repeated row counts once; other columns aren't read.
     """
     every = keep(lines_of(docs).distinct())
-    lines = keep(every.join(classes(every, ["a", "b"]), ["a", "b"]).select(*DOC, "seq", "pos", "n_words", "name", "n"))
+    most = max(PART, every.count() // PARTS)
+    lines = keep(joined_back(every, classes(every, ["a", "b"]), ["a", "b"], most).select(*DOC, "seq", "pos", "n_words", "name", "n"))
     level, levels = lines.select(*DOC, "seq", "name"), []
     doublings = max(0, (min_words - 1).bit_length())
     for k in range(doublings + 1):
@@ -101,8 +116,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 25, short_words: int | None
         if k < doublings:
             after = level.select(*DOC, (F.col("seq") - (1 << k)).alias("seq"), F.col("name").alias("next"))
             pairs = level.join(after, [*DOC, "seq"])
-            named = pairs.groupBy("name", "next").agg(F.count("*").alias("n"), F.min(place()).alias("first")).filter("n > 1").drop("n")
-            level = keep(pairs.join(named, ["name", "next"]).select(*DOC, "seq", F.col("first").alias("name")))
+            named = pairs.groupBy("name", "next").agg(F.count("*").alias("n"), F.min(place()).alias("first")).filter("n > 1")
+            level = keep(joined_back(pairs, named, ["name", "next"], most).select(*DOC, "seq", F.col("first").alias("name")))
     names = reduce(DataFrame.unionByName, levels)
     runs = minimal_runs(lines, min_words).withColumn("level", F.floor(F.log2(F.col("size"))).cast("int"))
     ends = names.select(*DOC, F.col("seq").alias("last_seq"), "level", F.col("name").alias("tail"))
@@ -112,8 +127,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 25, short_words: int | None
         .join(ends, [*DOC, "last_seq", "level"])
         .select(*DOC, "seq", "size", F.col("name").alias("head"), "tail")
     )
-    first = named.groupBy("size", "head", "tail").agg(F.count("*").alias("n"), F.min(place()).alias("first")).filter("n > 1").drop("n")
-    later = named.join(first, ["size", "head", "tail"]).filter(F.col("first") != place())
+    first = named.groupBy("size", "head", "tail").agg(F.count("*").alias("n"), F.min(place()).alias("first")).filter("n > 1")
+    later = joined_back(named, first, ["size", "head", "tail"], most).filter(F.col("first") != place())
     gone = later.select(*DOC, F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("size") - 1)).alias("seq"))
     if short_words is not None or short_copies is not None:
         often = F.lit(False)
@@ -126,16 +141,24 @@ def repeated_lines(docs: DataFrame, min_words: int = 25, short_words: int | None
     return gone.join(lines, [*DOC, "seq"]).groupBy(*DOC).agg(F.sort_array(F.collect_list("pos")).alias("deleted"))
 
 
-def without_lines(docs: DataFrame, deleted: DataFrame) -> DataFrame:
-    """docs with the deleted lines taken out of text, and d_n_deleted (0 where none); other columns stay."""
-    known = deleted.select(F.col("doc").alias("d_doc"), F.col("text_hash").alias("d_hash"), F.col("deleted").alias("d_deleted"))
-    lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("d_deleted"))
+def without_lines(docs: DataFrame, deleted: DataFrame, count: str = "d_n_deleted") -> DataFrame:
+    """docs with the deleted lines taken out of text, and how many (0 where none) in a column named `count`.
+
+    Other columns stay, whatever their names; one that is named as `count` is an error.
+    """
+    if count.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs has a column {count}: name another for the number of deleted lines")
+    known = deleted.select(F.col("doc").alias("of"), "text_hash", "deleted")
+    whole = docs.select(F.struct(*docs.columns).alias("whole"))
+    text = F.col("whole.text")
+    rest = let(F.split(text, "\n"), lambda lines: F.array_join(
+        F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("deleted")), lambda i: F.get(lines, i)), "\n"))
     return (
-        docs.join(known, (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)) == F.col("d_doc")) & (F.xxhash64("text") == F.col("d_hash")), "left")
-        .withColumn("text", F.when(F.col("d_deleted").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.split("text", "\n"), i)), "\n")))
-        .withColumn("d_n_deleted", F.coalesce(F.size("d_deleted"), F.lit(0)).cast("long"))
-        .drop("d_doc", "d_hash", "d_deleted")
+        whole.join(known, (F.coalesce(F.col("whole.doc_id").cast("long"), F.lit(LAST_ID)) == F.col("of")) & (F.xxhash64(text) == F.col("text_hash")), "left")
+        .select(
+            *[F.when(F.col("deleted").isNull(), text).otherwise(rest).alias(c) if c.lower() == "text" else F.col("whole")[c].alias(c) for c in docs.columns],
+            F.coalesce(F.size("deleted"), F.lit(0)).cast("long").alias(count),
+        )
     )
 
 

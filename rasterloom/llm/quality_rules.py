@@ -156,7 +156,8 @@ def judged(docs: DataFrame, text: str = "text", drop_text: bool = False, least:
     """docs with their counts, q_base_failed, q_posterior and q_kept; all added columns are named q_*.
 
     Null and empty texts have no words and fail; repeated rows are judged alike and counted each; an empty table
-    gives no rows; columns of docs that are named as an added one are replaced.  What was counted is written to
+    gives no rows; columns of docs that are named as an added one are replaced (put columns that must stay in a
+    struct, as the pipeline does).  What was counted is written to
     the shared folder once (without the text if drop_text), so texts are gone through once.
     """
     counted = counts(docs, text)
