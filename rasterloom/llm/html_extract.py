@@ -1,8 +1,9 @@
 """Main text of web pages: parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
-The standard library's parser streams events.  They fill lines: a block element begins and ends one, so each line
-knows its text, its tags, the container it stands in, and whether a container around it says by its name that
-it isn't the article (menus, adverts, comments and so on).  A line's text-to-tag ratio is its characters for each
+The standard library's parser streams events.  They fill lines: a block element begins and ends one, and closes
+what HTML lets stay open before it (paragraphs, items, cells), so each line knows its text, its tags, the container
+it stands in, and whether an element or a name around it says that it isn't the article (menus, adverts, comments
+and so on).  Names don't count where without their containers no article would be left.  A line's text-to-tag ratio is its characters for each
 tag; ratios are smoothed by a Gaussian along the page, and lines over the threshold (a share of the standard
 deviation) form clusters.  The clusters choose between the outermost containers that can hold an article and the
 page itself, by the clustered text inside and outside of these containers.  From what is chosen every line stays,
@@ -15,8 +16,10 @@ No shuffle: pages are mapped where they are read.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -44,32 +47,71 @@ NAMES = frozenset(
     "consent notice notices gdpr popup modal newsletter subscribe subscription signup share sharing social related "
     "recommended toolbar pagination pager widget complementary contentinfo alert dialog search skip".split()
 )
+#: What the last part of a name may be if its first part is such a word.
+HOLDERS = frozenset(
+    "area bar block box button buttons container content form group item items link links list message panel section "
+    "slot text unit widget widgets wrap wrapper".split()
+)
+#: Elements that the start of another closes, up to the element that holds them.
+CLOSED_BY = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
+    "tr": (("td", "th", "tr"), ("table",)), "option": (("option",), ("select", "datalist")),
+}
 ARTICLE = re.compile(r"\b(article|main|content|post|entry|story|articlebody)\b")
-_WORD = re.compile(r"[a-z]+")
+def named(said: str) -> bool:
+    """Whether a class, id or role names what isn't the article: `ad`, `site-footer`, `comment-list`, not `with-sidebar`."""
+    for name in said.split():
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        if not parts or len(parts) > 1 and parts[0] in ("with", "has", "no", "without", "is"):
+            continue
+        if parts[-1] in NAMES or parts[0] in NAMES and parts[-1] in HOLDERS:
+            return True
+    return False
 
 
 @dataclass
 class Line:
     parts: list[str] = field(default_factory=list)
     tags: int = 0
-    outside: bool = False
+    outside: bool = False  # by an element
+    named: bool = False  # by a name
     region: int = 0
     linked: int = 0  # characters inside links
 
     text = ""
 
 
+class Open(NamedTuple):
+    tag: str = ""
+    outside: bool = False
+    named: bool = False
+    region: int = 0  # the outermost region it stands in; 0: the page
+    linked: bool = False
+
+
 class Lines(HTMLParser):
-    """Collects the lines of a page from the parser's events."""
+    """Collects the lines of a page from the parser's events, in time linear in the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        # element, whether it is outside, the outermost region it stands in (0: the page), whether it is in a link
-        self.open: list[tuple[str, bool, int, bool]] = []
+        self.open: list[Open] = []
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # where in `open` each element stands
         self.regions = 1
         self.line = Line()
 
+    def around(self) -> Open:
+        return self.open[-1] if self.open else Open()
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost of these elements; -1 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
+
+    def close_from(self, at: int) -> None:
+        while len(self.open) > at:
+            self.places[self.open.pop().tag].pop()
+
     def begin_line(self) -> None:
         if self.line.parts:
             self.line.text = " ".join("".join(self.line.parts).split())
@@ -77,15 +119,21 @@ class Lines(HTMLParser):
             if self.line.text:
                 self.lines.append(self.line)
                 self.line = Line()
-        _, outside, region, _ = self.open[-1] if self.open else ("", False, 0, False)
-        self.line.outside, self.line.region = outside, region
+        around = self.around()
+        self.line.outside, self.line.named, self.line.region = around.outside, around.named, around.region
 
     def handle_starttag(self, tag: str, attrs) -> None:
-        if tag not in HEAD:
-            while self.open and any(x[0] == "head" for x in self.open):
-                self.open.pop()
+        if tag not in HEAD and (at := self.last("head")) >= 0:
+            self.close_from(at)
         block = tag in BLOCK
-        around = self.open[-1] if self.open else ("", False, 0, False)
+        if block and (at := self.last("p")) > self.last("td", "th", "button", "object"):
+            self.close_from(at)
+        if tag in CLOSED_BY:
+            closed, within = CLOSED_BY[tag]
+            bound = self.last(*within)
+            if places := [self.places[t][-1] for t in closed if self.places[t] and self.places[t][-1] > bound]:
+                self.close_from(min(places))
+        around = self.around()
         if tag in VOID:
             if block:
                 self.begin_line()
@@ -93,24 +141,22 @@ class Lines(HTMLParser):
             if tag == "br":
                 self.line.parts.append(" ")
             return
-        outside, region = around[1] or tag in OUTSIDE, around[2]
+        outside, name, region = around.outside or tag in OUTSIDE, around.named, around.region
+        holds = tag in ("article", "main")
         if attrs and tag not in ("html", "body"):
             said = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "itemprop")).lower()
-            words = set(_WORD.findall(said)) if said else set()
-            if tag in ("article", "main") or ARTICLE.search(said):
-                words -= {"content", "main", "article", "post", "entry", "story"}
             hidden = any(k == "hidden" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
-            outside = outside or hidden or bool(words & NAMES)
-            holds = tag in ("article", "main") or block and tag not in HEADINGS and bool(ARTICLE.search(said))
-        else:
-            holds = tag in ("article", "main")
+            outside = outside or hidden
+            name = name or named(said)
+            holds = holds or block and tag not in HEADINGS and not named(said) and bool(ARTICLE.search(said))
         if tag == "header" and not region:
             outside = True  # that of the page; an article's own header holds its title
         if holds and not outside and not region:
             region = self.regions
             self.regions += 1
-        self.open.append((tag, outside, region, around[3] or tag == "a"))
-        if block or outside != around[1]:
+        self.places[tag].append(len(self.open))
+        self.open.append(Open(tag, outside, name, region, around.linked or tag == "a"))
+        if block or (outside, name) != (around.outside, around.named):
             self.begin_line()
         self.line.tags += 1
 
@@ -120,20 +166,20 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "p" and not any(x[0] == "p" for x in self.open):
-            self.begin_line()
-            return
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), -1)
+        at = self.last(tag)
         if at < 0:
+            if tag == "p":
+                self.begin_line()
             return
-        was = self.open[-1][1]
-        del self.open[at:]
-        if tag in BLOCK or was != (self.open[-1][1] if self.open else False):
+        was = self.around()
+        self.close_from(at)
+        now = self.around()
+        if tag in BLOCK or (was.outside, was.named) != (now.outside, now.named):
             self.begin_line()
 
     def handle_data(self, data: str) -> None:
         self.line.parts.append(data)
-        if self.open and self.open[-1][3]:
+        if self.open and self.open[-1].linked:
             self.line.linked += len("".join(data.split()))
 
 
@@ -155,7 +201,10 @@ def main_text(html: str | None, share: float = 0.5) -> str:
     page.feed(html)
     page.close()
     page.begin_line()
-    lines = [x for x in page.lines if not x.outside]
+    every = [x for x in page.lines if not x.outside]
+    lines = [x for x in every if not x.named]
+    if not any(x.region for x in lines) and any(x.region for x in every):
+        lines = every  # an article stands in containers with such names only
     if not lines:
         return ""
     ratios = smooth(np.array([len(x.text) / max(1, x.tags) for x in lines], float))

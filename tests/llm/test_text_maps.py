@@ -184,3 +184,83 @@ def test_an_inexact_notice_before_an_exact_one():
         parts = [rng.choice((exact, *inexact)) for _ in range(rng.randint(2, 6))]
         want = [(4 * i, 0 if part == exact else spans(license_scan.normalise(part))[0].edits) for i, part in enumerate(parts)]
         assert sorted((s.first_word, s.edits) for s in spans(license_scan.normalise(" ".join(parts)))) == want
+
+
+def test_names_do_not_empty_an_article():
+    text = html_extract.main_text
+    body = "".join(f"<p>{'sentence after sentence ' * 8}{i}.</p>" for i in range(5))
+    for page in (
+        f"<article class='post'><div class='entry social-science'>{body}</div></article>",
+        f"<body><div class='page search'><article>{body}</article></div></body>",
+        f"<body><div class='main-content with-sidebar'>{body}</div></body>",
+        f"<body><div class='site-footer'>x y z</div><article>{body}<div class='comment-list'>nice one</div></article><div class='ad-slot'>buy</div></body>",
+    ):
+        assert text(page).count("\n") == 4 and text(page).startswith("sentence"), page
+    assert text("<article><h1>T</h1><p class='ad'>buy<p>Real text one.<p>Real two.</article>") == "T\nReal text one.\nReal two."
+    assert text("<article><ul><li class='ad'>buy<li>One<ul><li>In</ul><li>Two</ul><dl><dt>A<dd>B<dt>C</dl><table><tr><td>1<td>2<tr><td>3</table></article>").split("\n") == "One In Two A B C 1 2 3".split()
+    # comments that are articles of their own don't displace the article, nor do they come with it
+    assert "Me too" not in text(f"<body><article>{body}</article><section class='comments'><article>Me too {body}</article></section></body>")
+
+
+def test_unclosed_elements_take_linear_time():
+    import time
+
+    began = time.time()
+    assert html_extract.main_text("<body><article>" + "<b>x" * 100_000 + "<p>y" * 50_000 + "</i>" * 50_000).endswith("y")
+    assert html_extract.main_text("<ul>" + "<b>" * 50_000 + "<li>x</li>" * 50_000)
+    assert time.time() - began < 60
+
+
+def test_pages_on_odd_tables(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string, text string, n_chars long")
+    assert html_extract.extract(empty).count() == 0
+    rows = [(1, None, "<p>a</p>", "clash", 5)] * 2 + [(None, "u", "<article>" + "<p>word</p>" * 20_000 + "</article>", "clash", 5)]
+    found = html_extract.extract(spark.createDataFrame(rows, empty.schema)).collect()
+    assert sorted(r.n_chars for r in found) == [1, 1, 99_999]
+
+
+def edit_distance(a: bytes, b: bytes) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_licenses_are_those_of_a_plain_edit_distance():
+    """Every run of whole words within the allowed edits of a notice is found, or a better one that overlaps it."""
+    import random
+
+    rng, letters = random.Random(6), "abcdefgilmnoprstu "
+    scanner = license_scan.Scanner().ready()
+    for _ in range(60):
+        words = []
+        for _ in range(4):
+            phrase = rng.choice(list(license_scan.NOTICES))
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(phrase))
+                phrase = phrase[:at] + rng.choice(["", rng.choice(letters), phrase[at] + rng.choice(letters)]) + phrase[at + 1 :]
+            words += phrase.split() + rng.choices(["and", "the", "of", "license", "x"], k=rng.randint(0, 3))
+        text = license_scan.normalise(" ".join(words))
+        words = text.split(b" ")
+        found = scanner.spans(text)
+        for phrase, label, k in scanner.notices:
+            digits = [c for c in phrase if 48 <= c <= 57]
+            n = phrase.count(b" ") + 1
+            mine = [s for s in found if s.label == label]
+            for first in range(len(words)):
+                for size in range(max(1, n - k), n + k + 1):
+                    run = b" ".join(words[first : first + size])
+                    if first + size <= len(words) and (e := edit_distance(phrase, run)) <= k and not digits:
+                        assert any(s.first_word < first + size and first < s.first_word + s.n_words and s.edits <= e for s in mine), (text, phrase, run)
+            for s in mine:
+                assert edit_distance(phrase, b" ".join(words[s.first_word : s.first_word + s.n_words])) <= k
+
+
+def test_licenses_on_odd_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, spans string, n_words long")
+    assert license_scan.scan(empty).count() == 0
+    rows = [(None, "cc by nc", "clash", 1), (1, "cc by nc", "clash", 1), (1, "cc by nc", "clash", 1), (2, None, None, None), (3, "word " * 300_000 + "cc by nc", "clash", 1)]
+    found = license_scan.scan(spark.createDataFrame(rows, empty.schema)).collect()
+    assert sorted((r.n_words, len(r.spans)) for r in found) == [(0, 0), (3, 1), (3, 1), (3, 1), (300_003, 1)]
