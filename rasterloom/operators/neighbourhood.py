@@ -1,6 +1,7 @@
 """Filters over a pixel's neighbourhood, and changes of geometry.
 
-An image (or a tile of one, with its halo) is a row that holds an array of samples.  A result sample is an
+A channel of an image (or of a tile of one, with its halo) is a row that holds width, height and an array of
+samples, row by row; images of any sizes and channels of any number stand in one table.  A result sample is an
 expression over a fixed number of taps, so an image is filtered where it lies: one narrow stage, no shuffle, and
 no join of pixels with their neighbours.  Work grows with samples times taps; images spread over tasks as rows.
 """
@@ -13,8 +14,8 @@ from math import ceil, cos, exp, radians, sin
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..oracle import PX, byte as sql_byte, f, pick
-from ..sources.tables import SIDE, byte, f32, images
+from ..oracle import GRADIENTS, PX, byte as sql_byte, f, pick
+from ..sources.tables import byte, f32, gradients, images
 
 #: Weights row by row, divisor, offset.
 KERNELS = {
@@ -28,26 +29,34 @@ KERNELS = {
 }
 
 
-def clamp(value: Column, most: int) -> Column:
-    return F.least(F.greatest(value, F.lit(0)), F.lit(most))
+def width() -> Column:
+    return F.col("width")
 
 
-def x_of(i: Column, width: int = SIDE) -> Column:
-    return i % width
+def height() -> Column:
+    return F.col("height")
 
 
-def y_of(i: Column, width: int = SIDE) -> Column:
-    return F.floor(i / width).cast("int")
+def clamp(value: Column, most: Column) -> Column:
+    return F.least(F.greatest(value, F.lit(0)), most)
 
 
-def tap(v: Column, i: Column, dx: int, dy: int, w: int = SIDE, h: int = SIDE) -> Column:
+def x_of(i: Column, w: Column | None = None) -> Column:
+    return i % (width() if w is None else w)
+
+
+def y_of(i: Column, w: Column | None = None) -> Column:
+    return F.floor(i / (width() if w is None else w)).cast("int")
+
+
+def tap(v: Column, i: Column, dx: int, dy: int) -> Column:
     """The sample beside place i; beyond an edge, the edge's."""
-    return F.get(v, clamp(y_of(i, w) + dy, h - 1) * w + clamp(x_of(i, w) + dx, w - 1))
+    return F.get(v, clamp(y_of(i) + dy, height() - 1) * width() + clamp(x_of(i) + dx, width() - 1))
 
 
-def inside(i: Column, dx: int, dy: int, w: int = SIDE, h: int = SIDE) -> Column:
-    x, y = x_of(i, w) + dx, y_of(i, w) + dy
-    return (x >= 0) & (x < w) & (y >= 0) & (y < h)
+def inside(i: Column, dx: int, dy: int) -> Column:
+    x, y = x_of(i) + dx, y_of(i) + dy
+    return (x >= 0) & (x < width()) & (y >= 0) & (y < height())
 
 
 def square(radius: int) -> list[tuple[int, int]]:
@@ -62,18 +71,24 @@ def total(terms: Iterable[Column]) -> Column:
     return out
 
 
-def mapped(df: DataFrame, of: Callable[[Column, Column], Column], n: int = SIDE * SIDE) -> DataFrame:
-    """of(v, i) for each place i of the result, in place of v.
+def mapped(df: DataFrame, of: Callable[[Column, Column], Column], w: Column | None = None, h: Column | None = None) -> DataFrame:
+    """of(v, i) for each place i of the result, in place of v; w and h: the result's size if it isn't the image's.
 
-    v is bound by an outer lambda, so that the optimizer can't put its own computation in the place of each tap.
+    v is bound by an outer lambda, so that the optimizer can't put its own computation in the place of each tap.  An
+    image without samples stays as it is; one whose samples aren't width times height is an error.
     """
-    whole = lambda v: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: of(v, i))
-    return df.withColumn("v", F.get(F.transform(F.array("v"), whole), F.lit(0)))
+    n = (width() if w is None else w) * (height() if h is None else h)
+    whole = lambda v: F.transform(F.sequence(F.lit(0), n - 1), lambda i: of(v, i))
+    wrong = F.raise_error(F.concat(F.lit("an image's samples aren't its width times its height: "), F.size("v").cast("string")))
+    checked = F.when(F.size("v") == width() * height(), F.col("v")).otherwise(wrong.cast("array<int>"))
+    found = df.withColumn("v", F.when((F.size("v") == 0) | (n <= 0), F.array().cast("array<int>")).otherwise(F.get(F.transform(F.array(checked), whole), F.lit(0))))
+    return found if w is None else found.withColumns({"width": w.cast("int"), "height": h.cast("int")})
 
 
-def as_pixels(df: DataFrame, width: int = SIDE) -> DataFrame:
-    return df.select("image_id", F.posexplode("v").alias("i", "v")).select(
-        "image_id", (F.col("i") % width).alias("x"), F.floor(F.col("i") / width).cast("int").alias("y"), "v")
+def as_pixels(df: DataFrame) -> DataFrame:
+    """A row for each sample: what names the image and channel, x, y, v."""
+    names = [c for c in df.columns if c not in ("width", "height", "v")]
+    return df.select(*names, "width", F.posexplode("v").alias("i", "v")).select(*names, x_of(F.col("i")).alias("x"), y_of(F.col("i")).alias("y"), "v")
 
 
 def convolve(df: DataFrame, kernel: str) -> DataFrame:
@@ -154,7 +169,7 @@ def binary_pattern(df: DataFrame) -> DataFrame:
     """A bit for each neighbour that is no darker, the upper left first; borders stay as they are."""
     def of(v: Column, i: Column) -> Column:
         own = F.get(v, i)
-        border = (x_of(i) == 0) | (x_of(i) == SIDE - 1) | (y_of(i) == 0) | (y_of(i) == SIDE - 1)
+        border = (x_of(i) == 0) | (x_of(i) == width() - 1) | (y_of(i) == 0) | (y_of(i) == height() - 1)
         return F.when(border, own).otherwise(total(F.when(tap(v, i, dx, dy) >= own, 1 << (7 - k)).otherwise(0) for k, (dx, dy) in enumerate(RING)))
 
     return mapped(df, of)
@@ -173,45 +188,71 @@ def oil_paint(df: DataFrame, radius: int, bins: int) -> DataFrame:
     return mapped(df, of)
 
 
-def resize(df: DataFrame, width: int, height: int, w: int = SIDE, h: int = SIDE) -> DataFrame:
+def resize(df: DataFrame, new_width: int, new_height: int) -> DataFrame:
     """Bilinear, aligned at the upper left, truncated."""
+    wide, high = F.lit(new_width), F.lit(new_height)
+
     def of(v: Column, i: Column) -> Column:
-        px, py = (f32(x_of(i, width)) * f32(w / width)).cast("float"), (f32(y_of(i, width)) * f32(h / height)).cast("float")
-        ix, iy = clamp(F.floor(px).cast("int"), w - 1), clamp(F.floor(py).cast("int"), h - 1)
-        nx, ny = clamp(ix + 1, w - 1), clamp(iy + 1, h - 1)
+        px = (f32(x_of(i, wide)) * f32(width() / new_width)).cast("float")
+        py = (f32(y_of(i, wide)) * f32(height() / new_height)).cast("float")
+        ix, iy = clamp(F.floor(px).cast("int"), width() - 1), clamp(F.floor(py).cast("int"), height() - 1)
+        nx, ny = clamp(ix + 1, width() - 1), clamp(iy + 1, height() - 1)
         dx, dy = px - f32(ix), py - f32(iy)
-        at = lambda y, x: f32(F.get(v, y * w + x))
+        at = lambda y, x: f32(F.get(v, y * width() + x))
         one = f32(1)
         return byte((one - dx) * (one - dy) * at(iy, ix) + dx * (one - dy) * at(iy, nx) + (one - dx) * dy * at(ny, ix) + dx * dy * at(ny, nx))
 
-    return mapped(df, of, width * height)
+    return mapped(df, of, wide, high)
+
 
+def moved(df: DataFrame, source, w: Column | None = None, h: Column | None = None) -> DataFrame:
+    """A result of w x h (None: as the image) whose sample at (x, y) is that at source(x, y) of the image; outside it is 0."""
+    wide, high = width() if w is None else w, height() if h is None else h
 
-def moved(df: DataFrame, source, width: int = SIDE, height: int = SIDE, w: int = SIDE, h: int = SIDE) -> DataFrame:
-    """A result of width x height whose sample at (x, y) is that at source(x, y) of the image; outside it is 0."""
     def of(v: Column, i: Column) -> Column:
-        x, y = source(x_of(i, width), y_of(i, width))
-        return F.when((x >= 0) & (x < w) & (y >= 0) & (y < h), F.get(v, clamp(y, h - 1) * w + clamp(x, w - 1))).otherwise(0)
+        x, y = source(x_of(i, wide), y_of(i, wide))
+        return F.when((x >= 0) & (x < width()) & (y >= 0) & (y < height()), F.get(v, clamp(y, height() - 1) * width() + clamp(x, width() - 1))).otherwise(0)
 
-    return mapped(df, of, width * height)
+    return mapped(df, of, wide, high)
 
 
-def rotate(df: DataFrame, degrees: float, w: int = SIDE, h: int = SIDE) -> tuple[DataFrame, int]:
-    """Turned about the centre on a canvas that holds it; bilinear where all four samples are inside, else 0.  Also the width."""
+def rotate(df: DataFrame, degrees: float) -> DataFrame:
+    """Turned about the centre on a canvas that holds it; bilinear where all four samples are inside, else 0."""
     c, s = cos(radians(degrees)), sin(radians(degrees))
-    width, height = (ceil(round(v, 4)) for v in (abs(w * c) + abs(h * s), abs(w * s) + abs(h * c)))
+    whole = lambda a, b: F.ceil(F.round(F.abs(a) + F.abs(b), 4)).cast("int")
+    wide, high = whole(width() * c, height() * s), whole(width() * s, height() * c)
 
     def of(v: Column, i: Column) -> Column:
-        ox, oy = x_of(i, width) - width / 2, y_of(i, width) - height / 2
-        sx, sy = F.round(ox * c + oy * s + w / 2, 6), F.round(-ox * s + oy * c + h / 2, 6)
+        ox, oy = x_of(i, wide) - wide / 2, y_of(i, wide) - high / 2
+        sx, sy = F.round(ox * c + oy * s + width() / 2, 6), F.round(-ox * s + oy * c + height() / 2, 6)
         ix, iy = F.floor(sx).cast("int"), F.floor(sy).cast("int")
         tx, ty = sx - ix, sy - iy
-        at = lambda y, x: F.get(v, clamp(y, h - 1) * w + clamp(x, w - 1))
+        at = lambda y, x: F.get(v, clamp(y, height() - 1) * width() + clamp(x, width() - 1))
         top, low = at(iy, ix) + tx * (at(iy, ix + 1) - at(iy, ix)), at(iy + 1, ix) + tx * (at(iy + 1, ix + 1) - at(iy + 1, ix))
-        whole = (ix >= 0) & (ix + 1 < w) & (iy >= 0) & (iy + 1 < h)
+        whole = (ix >= 0) & (ix + 1 < width()) & (iy >= 0) & (iy + 1 < height())
         return F.when(whole, F.floor(F.round(top + ty * (low - top), 6)).cast("int")).otherwise(0)
 
-    return mapped(df, of, width * height), width
+    return mapped(df, of, wide, high)
+
+
+def kuwahara(df: DataFrame, radius: int = 1) -> DataFrame:
+    """The whole mean of the quarter of the neighbourhood that varies least, the first of equals; edges are continued."""
+    def of(v: Column, i: Column) -> Column:
+        n, found = (radius + 1) ** 2, []
+        for k, (sx, sy) in enumerate(((-1, -1), (1, -1), (-1, 1), (1, 1))):
+            taps = [tap(v, i, sx * dx, sy * dy) for dy in range(radius + 1) for dx in range(radius + 1)]
+            sums, squares = total(taps), total(t * t for t in taps)
+            found.append(F.struct((squares * n - sums * sums).alias("varies"), F.lit(k).alias("k"), F.floor(sums / n).cast("int").alias("mean")))
+        return F.array_min(F.array(*found))["mean"]
+
+    return mapped(df, of)
+
+
+def gradient(v: Column, i: Column) -> tuple[Column, Column]:
+    """Sobel across and down."""
+    of = lambda w: total(tap(v, i, dx, dy) * k for dx, dy, k in w)
+    across = [(dx, dy, dx * (2 - abs(dy))) for dx in (-1, 1) for dy in (-1, 0, 1)]
+    return of(across), of([(dy, dx, k) for dx, dy, k in across])
 
 
 # What follows is the same in SQL: pixels joined with their neighbours.
@@ -267,18 +308,34 @@ w AS (SELECT *, v[iy * 8 + ix + 1] AS a, v[iy * 8 + ix + 2] AS b, v[iy * 8 + ix
 SELECT image_id, x, y, CASE WHEN ok THEN CAST(floor(round((a + tx * (b - a)) + ty * ((c + tx * (d - c)) - (a + tx * (b - a))), 6)) AS INTEGER) ELSE 0 END AS v FROM w"""
 
 
-def _turned(df_width):
-    return as_pixels(*df_width)
-
-
 _MOVES = {
-    "flip_horizontal": (lambda x, y: (7 - x, y), ("7 - tx", "ty")),
-    "flip_vertical": (lambda x, y: (x, 7 - y), ("tx", "7 - ty")),
-    "rotate_90": (lambda x, y: (y, 7 - x), ("ty", "7 - tx")),
-    "rotate_180": (lambda x, y: (7 - x, 7 - y), ("7 - tx", "7 - ty")),
-    "rotate_270": (lambda x, y: (7 - y, x), ("7 - ty", "tx")),
+    "flip_horizontal": (lambda x, y: (width() - 1 - x, y), ("7 - tx", "ty")),
+    "flip_vertical": (lambda x, y: (x, height() - 1 - y), ("tx", "7 - ty")),
+    "rotate_180": (lambda x, y: (width() - 1 - x, height() - 1 - y), ("7 - tx", "7 - ty")),
     "translate": (lambda x, y: (x - 2, y + 1), ("tx - 2", "ty + 1")),
 }
+#: Quarter turns change width for height.
+_TURNS = {
+    "rotate_90": (lambda x, y: (y, height() - 1 - x), ("ty", "7 - tx")),
+    "rotate_270": (lambda x, y: (width() - 1 - y, x), ("7 - ty", "tx")),
+}
+
+# Colour images that aren't square: every channel by itself.
+
+_LINKED = "s.image_id = t.image_id AND s.channel = t.channel"
+
+
+def _colour(value: str, reach: int, on: str, taps: str = "") -> str:
+    return (f"{GRADIENTS} SELECT t.image_id, t.channel, t.x, t.y, {value} AS v FROM gr t, {taps or _taps(reach)} k "
+            f"JOIN gr s ON {_LINKED} AND {on} GROUP BY t.image_id, t.channel, t.x, t.y, t.v")
+
+
+_EDGE_32 = "s.x = greatest(0, least(31, t.x + dx)) AND s.y = greatest(0, least(23, t.y + dy))"
+_GAUSS = _colour(sql_byte(f"{f('sum(w * s.v)')} / {f(159)}"), 0, _EDGE_32, "(VALUES " + ", ".join(f"({k % 5 - 2}, {k // 5 - 2}, {w})" for k, w in enumerate(KERNELS["gauss5"][0])) + ") AS k0(dx, dy, w)").replace("AS k0(dx, dy, w) k", "AS k(dx, dy, w)")
+_KUWAHARA = (f"{GRADIENTS}, qu(k, dx, dy) AS (VALUES " + ", ".join(f"({k}, {sx * dx}, {sy * dy})" for k, (sx, sy) in enumerate(((-1, -1), (1, -1), (-1, 1), (1, 1))) for dy in (0, 1) for dx in (0, 1)) + "), "
+             f"qs AS (SELECT t.image_id, t.channel, t.x, t.y, k, sum(s.v) AS a, sum(s.v * s.v) AS b FROM gr t, qu JOIN gr s ON {_LINKED} AND {_EDGE_32} GROUP BY ALL) "
+             "SELECT image_id, channel, x, y, CAST(a // 4 AS INTEGER) AS v FROM qs QUALIFY row_number() OVER (PARTITION BY image_id, channel, x, y ORDER BY b * 4 - a * a, k) = 1")
+_TURNED_32 = f"{GRADIENTS} SELECT image_id, channel, 23 - y AS x, x AS y, v FROM gr"
 
 OPS = {
     **{f"convolve_{k}": (lambda s, d, k=k: as_pixels(convolve(images(s, d), k)), _convolution(k)) for k in KERNELS},
@@ -296,8 +353,19 @@ OPS = {
         _near("CAST(count(*) FILTER (s.v <= t.v) * 255 // count(*) AS INTEGER)", 2, _WITHIN)),
     "local_binary_pattern": (lambda s, d: as_pixels(binary_pattern(images(s, d))), _PATTERN),
     "oil_paint": (lambda s, d: as_pixels(oil_paint(images(s, d), 1, 8)), _OIL),
-    "resize": (lambda s, d: as_pixels(resize(images(s, d), 12, 5), 12), _RESIZE),
-    "rotate": (lambda s, d: _turned(rotate(images(s, d), 30)), _ROTATE),
-    "crop": (lambda s, d: as_pixels(moved(images(s, d), lambda x, y: (x + 2, y + 3), 4, 7), 4), _at(4, 7, "tx + 2", "ty + 3")),
+    "resize": (lambda s, d: as_pixels(resize(images(s, d), 12, 5)), _RESIZE),
+    "rotate": (lambda s, d: as_pixels(rotate(images(s, d), 30)), _ROTATE),
+    "crop": (lambda s, d: as_pixels(moved(images(s, d), lambda x, y: (x + 2, y + 3), F.lit(4), F.lit(7))), _at(4, 7, "tx + 2", "ty + 3")),
     **{k: (lambda s, d, to=to: as_pixels(moved(images(s, d), to)), _at(8, 8, *sql)) for k, (to, sql) in _MOVES.items()},
+    **{k: (lambda s, d, to=to: as_pixels(moved(images(s, d), to, height(), width())), _at(8, 8, *sql)) for k, (to, sql) in _TURNS.items()},
+    "gradients": (lambda s, d: as_pixels(gradients(s)), GRADIENTS + " SELECT * FROM gr"),
+    "colour_gauss5": (lambda s, d: as_pixels(convolve(gradients(s), "gauss5")), _GAUSS),
+    "colour_median": (lambda s, d: as_pixels(median(gradients(s), 1)), _colour("list_sort(list(s.v))[5]", 1, _EDGE_32)),
+    "colour_dilate": (lambda s, d: as_pixels(dilate(gradients(s), 2)), _colour("max(s.v)", 2, _EDGE_32)),
+    "colour_erode": (lambda s, d: as_pixels(erode(gradients(s), 1)), _colour("min(s.v)", 1, _EDGE_32)),
+    "colour_mean_blur": (lambda s, d: as_pixels(mean_blur(gradients(s), 1)), _colour("CAST(sum(s.v) // count(*) AS INTEGER)", 1, _WITHIN)),
+    "colour_kuwahara": (lambda s, d: as_pixels(kuwahara(gradients(s))), _KUWAHARA),
+    "colour_rotate_90": (lambda s, d: as_pixels(moved(gradients(s), _TURNS["rotate_90"][0], height(), width())), _TURNED_32),
+    "colour_flip": (lambda s, d: as_pixels(moved(gradients(s), _MOVES["flip_horizontal"][0])), f"{GRADIENTS} SELECT image_id, channel, 31 - x AS x, y, v FROM gr"),
+    "colour_crop": (lambda s, d: as_pixels(moved(gradients(s), lambda x, y: (x + 5, y + 9), F.lit(20), F.lit(11))), f"{GRADIENTS} SELECT image_id, channel, x - 5 AS x, y - 9 AS y, v FROM gr WHERE x BETWEEN 5 AND 24 AND y BETWEEN 9 AND 19"),
 }

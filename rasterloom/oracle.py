@@ -6,6 +6,12 @@ px AS (SELECT image_id, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS
 gr AS (SELECT image_id, x, y, r AS v FROM px)"""
 
 
+#: Colour images of 32 x 24 made by a rule, a row for each sample of each channel.
+GRADIENTS = """WITH im AS (SELECT unnest(range(6)) AS image_id), at AS (SELECT CAST(i % 32 AS INTEGER) AS x, CAST(i // 32 AS INTEGER) AS y FROM (SELECT unnest(range(768)) AS i)),
+ch AS (SELECT unnest(['r', 'g', 'b']) AS channel),
+gr AS (SELECT image_id, channel, x, y, CAST(greatest(0, least(255, CASE channel WHEN 'r' THEN x * 255 // 32 WHEN 'g' THEN y * 255 // 24 ELSE (x + y) * 255 // 56 END - image_id * 3 + (x * 7 + y * 13) % 11)) AS INTEGER) AS v FROM im, ch, at AS pl(x, y))""".replace("at AS (SELECT", "pl AS (SELECT").replace("at AS pl(x, y)", "pl")
+
+
 def f(value) -> str:
     return f"CAST({value} AS FLOAT)"
 

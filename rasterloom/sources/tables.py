@@ -23,8 +23,28 @@ def samples(embedding: Column) -> Column:
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each image: image_id, v (its bytes, row by row)."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), samples(F.col("embedding")).alias("v"))
+    """A row for each image: image_id, width, height, v (its bytes, row by row)."""
+    side = F.lit(SIDE)
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("image_id"), side.alias("width"), side.alias("height"), samples(F.col("embedding")).alias("v"))
+
+
+def gradients(spark: SparkSession, count: int = 6, width: int = 32, height: int = 24) -> DataFrame:
+    """Colour images made by a rule, a row for each channel: image_id, channel, width, height, v.
+
+    Red grows across, green down, blue along both; every image is a little darker than the one before.
+    """
+    ids = spark.range(count).select(F.col("id").alias("image_id"), F.lit(width).alias("width"), F.lit(height).alias("height"))
+    place = F.sequence(F.lit(0), F.lit(width * height - 1))
+    x, y = (lambda i: i % width), (lambda i: F.floor(i / width))
+    of = {
+        "r": lambda i: F.floor(x(i) * 255 / width), "g": lambda i: F.floor(y(i) * 255 / height),
+        "b": lambda i: F.floor((x(i) + y(i)) * 255 / (width + height)),
+    }
+    darker = lambda f: F.transform(place, lambda i: (f(i) - F.col("image_id") * 3 + (x(i) * 7 + y(i) * 13) % 11).cast("int"))
+    clipped = lambda f: F.transform(darker(f), lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(255)))
+    planes = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), clipped(f).alias("v")) for c, f in of.items()]))
+    return ids.select("*", planes.alias("plane")).select("image_id", "plane.channel", "width", "height", "plane.v")
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,79 @@ def test_pgm_headers_have_no_byte_limit(spark):
     heads = [b"P5\n#" + b"long " * 5000 + b"\n3 2\n255\n", b"P5\n" + b"# one of many\n" * 20000 + b"3 2\n255\n", b"P5 3\n# width\n2 # height\n255\n"]
     rows = spark.createDataFrame([(h + body,) for h in heads], "d binary").select(*[v.alias(k) for k, v in read_pgm(F.col("d")).items()]).collect()
     assert all((r.width, r.height, r.v) == (3, 2, list(body)) for r in rows)
+
+
+def test_curves_and_matrices_of_spaces(spark):
+    from rasterloom.functions import color, spaces
+
+    #: The published matrix from linear sRGB to XYZ for this white point.
+    published = ((0.4123908, 0.3575843, 0.1804808), (0.2126390, 0.7151687, 0.0721923), (0.0193308, 0.1191948, 0.9505322))
+    assert np.abs(np.array(spaces.to_xyz("srgb")) - np.array(published)).max() < 1e-6
+    assert np.abs(np.array(spaces.inverse(spaces.to_xyz("adobe"))) @ np.array(spaces.to_xyz("adobe")) - np.eye(3)).max() < 1e-9
+    for cones in spaces.CONES:
+        moved = spaces.applied(spaces.adaptation("D65", "D50", cones), spaces.white_xyz("D65"))
+        assert moved == pytest.approx(spaces.white_xyz("D50"), abs=1e-6)
+    assert spaces.inverse(((1, 2, 3), (2, 4, 6), (0, 0, 1))) == ((1, 0, 0), (0, 1, 0), (0, 0, 1))
+    for linear, encoded in spaces.CURVES.values():
+        for v in (0.0, 0.002, 0.05, 0.3, 0.7, 1.0):
+            assert one(spark, encoded(linear(F.lit(v)))) == pytest.approx(v, abs=2e-5)
+    assert one(spark, spaces.CURVES["linear"][0](F.lit(1.5))) == 1.5 and one(spark, spaces.CURVES["pq"][0](F.lit(1.5))) == 1
+    # white stays white in every space, and a colour beyond the gamut comes back with its lightness
+    for name in spaces.SPACES:
+        white = spark.range(1).select(*[c.alias(n) for n, c in zip("rgb", spaces.converted([F.lit(1.0)] * 3, "srgb", name))]).first()
+        assert list(white) == pytest.approx([1, 1, 1], abs=2e-3)
+    rgb = one(spark, spaces.into_gamut(F.lit(60.0), F.lit(90.0), F.lit(-80.0)))
+    assert all(0 <= v <= 1 for v in rgb) and max(rgb) > 0.99
+    back = spark.createDataFrame([tuple(rgb)], "r double, g double, b double").select(*[v.alias(n) for n, v in color.lab(F.col("r"), F.col("g"), F.col("b")).items()]).first()
+    assert back.l == pytest.approx(60, abs=0.1) and 30 < np.hypot(back.a, back.b) < 121 and back.a / back.b == pytest.approx(-90 / 80, abs=0.02)
+
+
+def test_delta_e2000_of_published_pairs(spark):
+    from rasterloom.functions.color import delta_e2000
+
+    #: Pairs of Lab colours and their distance, from the published test data of the formula.
+    pairs = [
+        (50.0, 2.6772, -79.7751, 50.0, 0.0, -82.7485, 2.0425), (50.0, 3.1571, -77.2803, 50.0, 0.0, -82.7485, 2.8615),
+        (50.0, -1.3802, -84.2814, 50.0, 0.0, -82.7485, 1.0000), (50.0, 0.0, 0.0, 50.0, -1.0, 2.0, 2.3669),
+        (50.0, 2.49, -0.001, 50.0, -2.49, 0.0009, 7.1792), (50.0, 2.5, 0.0, 73.0, 25.0, -18.0, 27.1492),
+        (60.2574, -34.0099, 36.2677, 60.4626, -34.1751, 39.4387, 1.2644), (2.0776, 0.0795, -1.1350, 0.9033, -0.0636, -0.5514, 0.9082),
+    ]
+    df = spark.createDataFrame([tuple(map(float, p)) for p in pairs], "l double, a double, b double, ol double, oa double, ob double, want double")
+    for r in df.select("want", delta_e2000({c: F.col(c) for c in "lab"}, {c: F.col(f"o{c}") for c in "lab"}).alias("found")).collect():
+        assert r.found == pytest.approx(r.want, abs=1e-4)
+
+
+def stepped(x0, y0, x1, y1):
+    dx, dy, sx, sy, out = abs(x1 - x0), abs(y1 - y0), 1 if x0 < x1 else -1, 1 if y0 < y1 else -1, []
+    e = dx - dy
+    while True:
+        out.append((x0, y0))
+        if (x0, y0) == (x1, y1):
+            return out
+        e, x0, y0 = e - dy * (2 * e > -dy) + dx * (2 * e < dx), x0 + sx * (2 * e > -dy), y0 + sy * (2 * e < dx)
+
+
+def test_shapes(spark):
+    from rasterloom.operators import drawing
+
+    points = lambda c: [tuple(p) for p in one(spark, c)]
+    ends = [(x0, y0, x1, y1) for x0, y0 in ((0, 0), (5, 3), (7, -2)) for x1 in range(-4, 12, 3) for y1 in range(-3, 11, 2)]
+    df = spark.createDataFrame(ends, "x0 int, y0 int, x1 int, y1 int")
+    for r in df.withColumn("points", drawing.line(*map(F.col, ("x0", "y0", "x1", "y1")))).collect():
+        assert [tuple(p) for p in r.points] == stepped(r.x0, r.y0, r.x1, r.y1)
+    assert points(drawing.circle(3, 3, 0))[:8] == [(3, 3)] * 8
+    for cx, cy, r in ((0, 0, 5), (2, 1, 9)):
+        ring = set(points(drawing.circle(cx, cy, r)))
+        assert all(abs(((x - cx) ** 2 + (y - cy) ** 2) ** 0.5 - r) < 1 for x, y in ring) and ring <= set(points(drawing.circle(cx, cy, r, True)))
+    for rx, ry in ((7, 4), (3, 8), (5, 5)):
+        ring = points(drawing.ellipse(0, 0, rx, ry))
+        assert {(rx, 0), (-rx, 0), (0, ry), (0, -ry)} <= set(ring)
+        assert all(abs(((x / rx) ** 2 + (y / ry) ** 2) ** 0.5 - 1) < 0.25 for x, y in ring)
+    assert points(drawing.ellipse_filled(0, 0, 4, 0)) == [(x, 0) for x in range(-4, 5)]
+    square = drawing.polygon_of(((0, 0), (4, 0), (4, 4), (0, 4)))
+    assert set(points(drawing.polygon(square, True))) == {(x, y) for x in range(5) for y in range(1, 5)}
+    assert len(set(points(drawing.polygon(square)))) == 16
+    curve = points(drawing.bezier([(0, 7), (3, -4), (7, 6)]))
+    assert curve[0] == (0, 7) and curve[-1] == (7, 6) and all(abs(a[0] - b[0]) <= 1 and abs(a[1] - b[1]) <= 1 for a, b in zip(curve, curve[1:]))
+    assert points(drawing.bezier([(0, 0), (0, 9), (9, 9), (9, 0)]))[-1] == (9, 0)
+    assert len(points(drawing.rectangle(0, 0, 3, 2, True))) == 6
