@@ -8,7 +8,7 @@ FLAGSHIP = "equalize"
 
 MODULES = (
     "operators.pointwise", "operators.neighbourhood", "operators.aggregates", "operators.compositing", "operators.scalars",
-    "operators.arrangement", "operators.timeline", "operators.sequential", "operators.colors", "operators.drawing", "operators.palettes", "operators.layers", "sources.codecs",
+    "operators.arrangement", "operators.timeline", "operators.sequential", "operators.colors", "operators.drawing", "operators.palettes", "operators.layers", "operators.scenes", "sources.codecs",
 )
 
 

@@ -248,13 +248,6 @@ def kuwahara(df: DataFrame, radius: int = 1) -> DataFrame:
     return mapped(df, of)
 
 
-def gradient(v: Column, i: Column) -> tuple[Column, Column]:
-    """Sobel across and down."""
-    of = lambda w: total(tap(v, i, dx, dy) * k for dx, dy, k in w)
-    across = [(dx, dy, dx * (2 - abs(dy))) for dx in (-1, 1) for dy in (-1, 0, 1)]
-    return of(across), of([(dy, dx, k) for dx, dy, k in across])
-
-
 # What follows is the same in SQL: pixels joined with their neighbours.
 
 def _taps(reach: int) -> str:

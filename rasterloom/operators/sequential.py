@@ -12,18 +12,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..oracle import PX
-from ..sources.tables import SIDE, images
+from ..sources.tables import images
 from .neighbourhood import as_pixels
 
 
 def per_image(df: DataFrame, of) -> DataFrame:
-    """of(bytes as a height x width array) for each image."""
+    """of(samples as a height x width array) for each image: image_id, width, height, v."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            v = [of(np.array(v, np.int64).reshape(SIDE, -1)).reshape(-1).astype(np.int32) for v in part["v"]]
-            yield pd.DataFrame({"image_id": part["image_id"], "v": v})
+            out = [of(np.array(v, np.int64).reshape(h, w)) for v, w, h in zip(part["v"], part["width"], part["height"])]
+            yield pd.DataFrame({
+                "image_id": part["image_id"], "width": [o.shape[1] for o in out], "height": [o.shape[0] for o in out],
+                "v": [o.reshape(-1).astype(np.int32) for o in out],
+            })
 
-    return df.select("image_id", "v").mapInPandas(run, "image_id long, v array<int>")
+    return df.select("image_id", "width", "height", "v").mapInPandas(run, "image_id long, width int, height int, v array<int>")
 
 
 def diffused(v: np.ndarray, level: float = 128) -> np.ndarray:
@@ -91,6 +94,6 @@ SELECT gr.image_id, gr.x, gr.y, CAST(coalesce(k, 0) AS INTEGER) AS v FROM gr LEF
 
 OPS = {
     "error_diffusion": (lambda s, d: as_pixels(per_image(images(s, d), diffused)), None),
-    "seam_carve": (lambda s, d: as_pixels(per_image(images(s, d), carved), SIDE - 2), None),
+    "seam_carve": (lambda s, d: as_pixels(per_image(images(s, d), carved)), None),
     "component_labels": (lambda s, d: as_pixels(per_image(images(s, d), labelled)), _LABELS),
 }
