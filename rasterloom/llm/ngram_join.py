@@ -43,7 +43,7 @@ from .components import components
 BUCKET_BITS, ROW_BITS = 22, 16
 IN_GROUP = 256
 #: Classes in a tree of candidates, and the keys of each that it holds.
-IN_TREE, TAIL = 1024, 16
+IN_TREE, TAIL = 1024, 8
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -283,15 +283,20 @@ def across(members: DataFrame, classes: DataFrame, found: DataFrame, threshold:
     about IN_TREE classes; a search is dealt to all trees of its key, and the searches of a tree to several tasks.
     """
     held = members.join(found, members.rep == found.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-    counted = held.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = (
-        counted.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
-        .select(
-            "key", F.col("main.component").alias("main"), F.ceil(F.col("n") / IN_TREE).cast("int").alias("trees"),
-            F.ceil((F.col("n") - F.col("main.n")) / (8 * IN_TREE)).cast("int").alias("searches"),
-        )
+    # the largest set that can be linked with this one, if the key is the first that they share
+    held = held.withColumn("far", F.floor((F.col("size") - F.col("pos")) * ((1 + threshold) / threshold) - F.col("size") + 1e-6))
+    counted = held.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("size").alias("lo"), F.max("size").alias("up"), F.max("far").alias("far"))
+    main = counted.groupBy("key").agg(F.max(F.struct("n", "component", "lo", "up", "far")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
+    rest = counted.join(main.hint("merge"), "key").filter(F.col("component") != F.col("main.component"))
+    mixed = rest.groupBy("key").agg(
+        F.first("main").alias("m"), F.struct(F.min("lo").alias("lo"), F.max("up").alias("up"), F.max("far").alias("far")).alias("o"),
+        F.ceil(F.first("all") / IN_TREE).cast("int").alias("trees"), F.ceil(F.sum("n") / (8 * IN_TREE)).cast("int").alias("searches"), (F.count("*") > 1).alias("several"),
     )
-    rows = keep(held.join(mixed.hint("merge"), "key"))
+    # rows that the sizes and places of no class in another component fit take no part
+    fits = lambda o: (o["lo"] <= F.col("far")) & (F.col("size") <= o["far"]) & (o["lo"] * threshold <= F.col("size") + 1e-6) & (o["up"] >= F.col("size") * threshold - 1e-6)
+    m, o = F.col("m"), F.col("o")
+    needed = F.when(F.col("component") == m["component"], fits(o)).otherwise(fits(m) | (F.col("several") & fits(o)))
+    rows = keep(held.join(mixed.hint("merge"), "key").filter(needed).select("key", "rep", "size", "pos", "component", m["component"].alias("main"), "trees", "searches"))
     tails = (
         rows.join(classes.select("rep", "prefix").hint("merge"), "rep")
         .select("key", "rep", "size", "pos", "component", "main", "trees", "searches", F.slice("prefix", F.col("pos") + 1, TAIL).alias("tail"))
