@@ -1,8 +1,10 @@
 """Jaccard join of documents on word n-grams, by prefix trees over globally ordered sets, and its components.
 
 Sets.  A document's n-grams are hashed to 64 bits.  Equal sets are one class from the start, so copies cost a row
-each.  All sets are ordered alike: by how often an n-gram's bucket was counted (a table of fixed size over all
-documents, kept as powers of two), then by hash; rare n-grams come first.
+each.  All sets are ordered alike, rare n-grams first: by how often an n-gram can occur at most, then by how rare its
+words are on average, then by hash.  At most, it occurs as often as its bucket of n-grams or the rarest of its words;
+both are counted over all documents in tables of fixed size.  Buckets of n-grams fill as the corpus grows and tell
+less and less of rare ones; there are far fewer words, so that the words decide.
 
 Candidates.  Two sets of similarity t share one of the first n - ceil(t n) + 1 n-grams of either.  Only these are
 shuffled, with their place in the set: if the first n-gram that two sets share stands at place i of one and j of
@@ -39,8 +41,11 @@ from pyspark.sql import functions as F
 from .common import keep, table
 from .components import components
 
-#: Counters of the table that orders n-grams, as a power of two, and of one row of it.
+#: Counters of a table that orders n-grams, as a power of two, and of one row of it.
 BUCKET_BITS, ROW_BITS = 22, 16
+PARTS = 1 << (BUCKET_BITS - ROW_BITS)
+#: Bits of a key below those of its place in the order.
+HASH_BITS = 52
 IN_GROUP = 256
 #: Classes in a tree of candidates, and the keys of each that it holds.
 IN_TREE, TAIL = 1024, 8
@@ -49,58 +54,69 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def ngrams(text: bytes | None, n: int) -> np.ndarray:
-    """The distinct hashes of a text's word n-grams, ascending; of all its words, if there are fewer; none without words.
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """Hashes of a text's words [^\\x20\\x09-\\x0D]+ in UTF-8, A-Z in lower case.  bytes.split() cuts at just these bytes."""
+    return np.array([*map(xxhash.xxh3_64_intdigest, (text or b"").translate(_LOWER).split())], np.uint64)
 
-    Words are [^\\x20\\x09-\\x0D]+ in UTF-8, A-Z in lower case.  bytes.split() cuts at just these bytes.
-    """
-    words = (text or b"").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
+
+def ngrams(words: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of n-grams of words in their order; of all words, if there are fewer; none without words."""
     size = min(n, len(words))
-    h = np.array([*map(xxhash.xxh3_64_intdigest, words)], np.uint64)
-    out = np.full(len(h) - size + 1, size, np.uint64)
+    if not size:
+        return np.zeros(0, np.uint64)
+    out = np.full(len(words) - size + 1, size, np.uint64)
     for i in range(size):
-        out = (out ^ h[i : len(h) - size + 1 + i]) * _M1
+        out = (out ^ words[i : len(words) - size + 1 + i]) * _M1
         out ^= out >> np.uint64(29)
     out *= _M2
-    return np.unique(out ^ (out >> np.uint64(32)))
+    return out ^ (out >> np.uint64(32))
 
 
-def ordered(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The set in global order: keys of a level in the high bits and the hash below."""
-    level = levels[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64)
-    return np.sort((level << np.uint64(58)) | (hashes & np.uint64((1 << 58) - 1)))
+def bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def ordered(text: bytes | None, n: int, levels: np.ndarray) -> np.ndarray:
+    """A text's set in global order: keys with their place in the order in the high bits and the hash below."""
+    words = word_hashes(text)
+    hashes, size = ngrams(words, n), min(n, len(words))
+    if not size:
+        return hashes
+    of_words = levels[1][bucket(words)].astype(np.uint16)
+    spans = [of_words[i : len(hashes) + i] for i in range(size)]
+    most = np.minimum.reduce([levels[0][bucket(hashes)], *spans]) >> 2
+    rarity = np.minimum(sum(spans) // (2 * size), 63)
+    place = (most << 6 | rarity).astype(np.uint64)
+    return np.unique((place << np.uint64(HASH_BITS)) | (hashes & np.uint64((1 << HASH_BITS) - 1)))
 
 
 def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
-    """Powers of two of how often the n-grams of each bucket occur in all documents; 4 MB, whatever the input."""
+    """How often the n-grams and words of each bucket occur in all documents, as four times the logarithm to base 2: two tables of 4 MB, whatever the input."""
+
+    def rows(parts: dict[int, bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(parts.keys(), pa.int32()), pa.array(parts.values(), pa.binary())], ["part", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        counts = np.zeros((2, 1 << BUCKET_BITS), np.int64)
         for batch in batches:
             for text in batch.column(0):
-                found = (ngrams(text.as_py(), n) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-                np.add.at(counts, found, 1)
-        rows = [(i, zlib.compress(part.tobytes(), 1)) for i, part in enumerate(counts.reshape(-1, 1 << ROW_BITS)) if part.any()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "counts"])
+                words = word_hashes(text.as_py())
+                np.add.at(counts[0], bucket(ngrams(words, n)), 1)
+                np.add.at(counts[1], bucket(words), 1)
+        yield rows({i: zlib.compress(part.tobytes(), 1) for i, part in enumerate(counts.reshape(2 * PARTS, -1)) if part.any()})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(blob), np.int64)
-        rows = [(i, np.ceil(np.log2(c + 1)).astype(np.uint8).tobytes()) for i, c in sums.items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "counts"])
+        yield rows({i: np.round(4 * np.log2(np.maximum(c, 1))).astype(np.uint8).tobytes() for i, c in sums.items()})
 
-    parts = 1 << (BUCKET_BITS - ROW_BITS)
     sums = docs.select(F.col("text").cast("binary")).mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(add, "part int, counts binary")
-    levels = np.zeros((parts, 1 << ROW_BITS), np.uint8)
-    for row in sums.collect():  # 64 rows of 64 KB
+    levels = np.zeros((2 * PARTS, 1 << ROW_BITS), np.uint8)
+    for row in sums.collect():  # 128 rows of 64 KB
         levels[row["part"]] = np.frombuffer(row["counts"], np.uint8)
-    return levels.reshape(-1)
+    return levels.reshape(2, -1)
 
 
 def sets(docs: DataFrame, n: int, threshold: float, levels) -> DataFrame:
@@ -111,7 +127,7 @@ def sets(docs: DataFrame, n: int, threshold: float, levels) -> DataFrame:
         for batch in batches:
             size, prints, prefixes = [], [], []
             for text in batch.column(1):
-                keys = ordered(ngrams(text.as_py(), n), order)
+                keys = ordered(text.as_py(), n, order)
                 size.append(len(keys))
                 prints.append(xxhash.xxh3_128_digest(keys.tobytes()))
                 prefixes.append(keys[: len(keys) - ceil(threshold * len(keys) - 1e-9) + 1 if len(keys) else 0].view(np.int64))
@@ -258,7 +274,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float, level
                 if (a, part) != group:
                     yield links()
                     group, lefts, others = (a, part), [], []
-                keys = ordered(ngrams(unpack(z), n), order)
+                keys = ordered(unpack(z), n, order)
                 if side:
                     others.append((b, keys))
                 else:
