@@ -6,27 +6,36 @@ words are on average, then by hash.  At most, it occurs as often as its bucket o
 both are counted over all documents in tables of fixed size.  Buckets of n-grams fill as the corpus grows and tell
 less and less of rare ones; there are far fewer words, so that the words decide.
 
-Candidates.  Two sets of similarity t share one of the first n - ceil(t n) + 1 n-grams of either.  Only these are
-shuffled, with their place in the set: if the first n-gram that two sets share stands at place i of one and j of
-the other, they share at most the smaller of n - i and m - j.  N-grams that one class alone has are dropped.  In
-place of all pairs of an n-gram's classes, each is first compared with one of them only, that in which the n-gram
-comes first (a copy with edits of its own has rare n-grams in front); that joins groups of near copies into
-components with as many comparisons as rows.  Only n-grams whose classes still lie in different components are
-looked at again: the classes outside of the n-gram's largest component search prefix trees of all its classes, in
-blocks of bounded size, and only pairs that the bounds admit leave a task.  So no link between components is
-missed; links within one add nothing.
+Candidates.  Two sets of similarity t, the larger of b n-grams, differ in at most 2 b (1 - t) / (1 + t) n-grams.  So
+if n-grams are dealt to more parts than that by their hash, the two sets have all n-grams of one part in common.
+Sizes are split into classes of a ratio 1 / t, each with a number of parts of its own; a set is cut into the parts of
+the one or two classes in which the larger set of a pair can be.  What a set has in a part is a key of 64 bits, and
+sets meet by equal keys: a few n-grams at once, so that sets that only share frequent n-grams don't meet however
+large the corpus grows.  Parts with less than two n-grams are weak.  There are `slack` parts more than needed, so that
+sets with no more than `slack` weak parts needn't look at those, and only sets with more of them do.
+
+That is by_parts, for n-grams of a few words, which texts without any relation share.  Otherwise the keys of a set are
+its first n - ceil(t n) + 1 n-grams, one of which linked sets share, with their places: if the first n-gram that two
+sets share stands at place i of one and j of the other, they share at most the smaller of n - i and m - j.
+
+Keys that one class of equal sets alone has are dropped.  In place of all pairs of a key's classes, each is first
+compared with one of them only, that in which the n-gram comes first or the smallest; that joins groups of near copies into components with no more comparisons
+than rows.  Only keys whose classes still lie in different components are looked at again: the classes outside of the
+key's largest component search prefix trees of all its classes, in blocks of bounded size, and only pairs that the
+bounds admit leave a task.  So no link between components is missed; links within one add nothing.
 
 Trees.  A PrefixTree stores sets, or as much of them as is known, in a trie with a run of keys on each edge.  A
 search goes down from the root and carries the overlap so far, which all sets of a subtree share; a subtree is
-left as soon as that overlap and the smaller remaining length can't reach what its smallest set needs.  Candidates
-are searched for in trees of the TAIL keys that follow the shared n-gram, pairs are verified in trees of whole
-sets.  Sets that very many others are compared with are given to several tasks, by a hash of the others.
+left as soon as that overlap and the smaller remaining length can't reach what its smallest set needs.  Across
+components, trees hold the first n - ceil(t n) + 1 n-grams of each set, or the TAIL n-grams that follow the shared
+one; pairs are verified in trees of whole sets.  Sets that very many others are compared with are given to several tasks, by a hash of the others.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from itertools import groupby
 from math import ceil
 from typing import NamedTuple
@@ -47,7 +56,7 @@ PARTS = 1 << (BUCKET_BITS - ROW_BITS)
 #: Bits of a key below those of its place in the order.
 HASH_BITS = 52
 IN_GROUP = 256
-#: Classes in a tree of candidates, and the keys of each that it holds.
+#: Classes in a tree of candidates, and the keys of each that follow a shared n-gram in it.
 IN_TREE, TAIL = 1024, 8
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -119,24 +128,84 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
     return levels.reshape(2, -1)
 
 
-def sets(docs: DataFrame, n: int, threshold: float, levels) -> DataFrame:
-    """doc_id, size, print (of the whole set, 128 bits), prefix (its first keys)."""
+class Parts:
+    """Cuts sets into parts, so that two sets that reach the threshold share the key of one."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.largest = [0]  # largest size of each class of sizes
+
+    def class_of(self, size: int) -> int:
+        while self.largest[-1] < size:
+            self.largest.append(max(self.largest[-1] + 1, int((self.largest[-1] + 1) / self.threshold + 1e-9)))
+        return bisect_left(self.largest, size)
+
+    def keys(self, ngrams: np.ndarray) -> np.ndarray:
+        """The keys of a set of distinct n-grams.  Sets that can only be linked with equal ones have none."""
+        n, out = len(ngrams), [np.zeros(0, np.uint64)]
+        if not n:
+            return out[0]
+        mixed = ngrams * _M1
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= _M2
+        mixed ^= mixed >> np.uint64(29)
+        for c in range(self.class_of(n), self.class_of(int(n / self.threshold + 1e-9)) + 1):
+            differ = int(2 * self.largest[c] * (1 - self.threshold) / (1 + self.threshold) + 1e-9)
+            if not differ:
+                continue
+            slack = differ // 8 + 1
+            count = differ + slack + 1
+            part = (mixed % np.uint64(count)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            held = np.bincount(part, minlength=count)
+            sums = np.zeros(count, np.uint64)
+            full = np.flatnonzero(held)
+            starts = np.concatenate(([0], np.cumsum(held)))[full]
+            sums[full] = np.add.reduceat(mixed[order] * _M1, starts)
+            key = (sums ^ (np.arange(count, dtype=np.uint64) + (np.uint64(c + 1) << np.uint64(32)))) * _M2
+            key ^= key >> np.uint64(31)
+            strong = held > 1
+            out.append(key * _M1 if count - np.count_nonzero(strong) > slack else (key * _M1)[strong])
+        return np.concatenate(out)
+
+
+def head(keys: np.ndarray, threshold: float) -> np.ndarray:
+    """The first keys of a set in global order, one of which every set linked with it has among its own."""
+    return keys[: len(keys) - ceil(threshold * len(keys) - 1e-9) + 1 if len(keys) else 0]
+
+
+def sets(docs: DataFrame, n: int, threshold: float, levels, by_parts: bool) -> DataFrame:
+    """doc_id, size, print (of the whole set, 128 bits), keys by which it meets others: those of its parts, or its first n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = levels.value
+        order, cut = levels.value, Parts(threshold)
         for batch in batches:
-            size, prints, prefixes = [], [], []
+            size, prints, met = [], [], []
             for text in batch.column(1):
                 keys = ordered(text.as_py(), n, order)
                 size.append(len(keys))
                 prints.append(xxhash.xxh3_128_digest(keys.tobytes()))
-                prefixes.append(keys[: len(keys) - ceil(threshold * len(keys) - 1e-9) + 1 if len(keys) else 0].view(np.int64))
+                met.append((cut.keys(keys) if by_parts else head(keys, threshold)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "size", "print", "prefix"],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.array(met, pa.list_(pa.int64()))],
+                ["doc_id", "size", "print", "keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, size long, print binary, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, size long, print binary, keys array<long>")
+
+
+def heads(texts: DataFrame, n: int, threshold: float, levels) -> DataFrame:
+    """Of texts (doc_id, z): rep, tail (the first keys of the set, one of which every set linked with it has)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, unpack = levels.value, zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            first = [head(ordered(unpack(z.as_py()), n, order), threshold).view(np.int64) for z in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(first, pa.list_(pa.int64()))], ["rep", "tail"],
+            )
+
+    return texts.mapInArrow(run, "rep long, tail array<long>")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -291,12 +360,13 @@ def reach(a_size, a_pos, b_size, b_pos, threshold: float):
     return (both >= F.lit(threshold / (1 + threshold)) * (a_size + b_size) - 1e-9) & (n >= F.lit(threshold) * m - 1e-9)
 
 
-def across(members: DataFrame, classes: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+def across(members: DataFrame, tails: Callable[[DataFrame], DataFrame], found: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of classes in different components that share a key, as far as the bounds admit them.
 
-    members: rep, size, pos, key; classes: rep, prefix; found: node, component.  Of a key's classes those outside of
-    its largest component (the others need no comparison with one another) search trees of all of them.  Trees have
-    about IN_TREE classes; a search is dealt to all trees of its key, and the searches of a tree to several tasks.
+    members: rep, size, pos, key; found: node, component; tails adds to rows `tail`, what a tree stores of the set from
+    pos on.  Of a key's classes those outside of its largest component (the others need no comparison with one
+    another) search trees of all of them.  Trees have about IN_TREE classes; a search is dealt to all trees of its
+    key, and the searches of a tree to several tasks.
     """
     held = members.join(found, members.rep == found.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
     # the largest set that can be linked with this one, if the key is the first that they share
@@ -313,27 +383,26 @@ def across(members: DataFrame, classes: DataFrame, found: DataFrame, threshold:
     m, o = F.col("m"), F.col("o")
     needed = F.when(F.col("component") == m["component"], fits(o)).otherwise(fits(m) | (F.col("several") & fits(o)))
     rows = keep(held.join(mixed.hint("merge"), "key").filter(needed).select("key", "rep", "size", "pos", "component", m["component"].alias("main"), "trees", "searches"))
-    tails = (
-        rows.join(classes.select("rep", "prefix").hint("merge"), "rep")
-        .select("key", "rep", "size", "pos", "component", "main", "trees", "searches", F.slice("prefix", F.col("pos") + 1, TAIL).alias("tail"))
-    )
+    tailed = tails(rows)
     tree, search = F.pmod(F.xxhash64("rep"), F.col("trees")).cast("int"), F.pmod(F.xxhash64("rep"), F.col("searches")).cast("int")
     each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     columns = ["key", "tree", "search", "side", "rep", "size", "pos", "component", "tail"]
-    stored = tails.withColumn("tree", tree).withColumn("search", F.explode(each("searches"))).withColumn("side", F.lit(0)).select(*columns)
+    stored = tailed.withColumn("tree", tree).withColumn("search", F.explode(each("searches"))).withColumn("side", F.lit(0)).select(*columns)
     searching = (
-        tails.filter("component <> main").withColumn("tree", F.explode(each("trees"))).withColumn("search", search)
+        tailed.filter("component <> main").withColumn("tree", F.explode(each("trees"))).withColumn("search", search)
         .withColumn("side", F.lit(1)).select(*columns)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, trees, stored_sets, component = None, None, [], {}
         for batch in batches:
-            out = set()
-            for key, t, s, side, rep, size, pos, own, tail in zip(*(c.to_pylist() for c in batch.columns)):
+            out, tail = set(), batch.column(8)
+            starts, flat = tail.offsets.to_pylist(), tail.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            tails_of = [flat[i:j] for i, j in zip(starts, starts[1:])]
+            for key, t, s, side, rep, size, pos, own, tail in zip(*(c.to_pylist() for c in batch.columns[:8]), tails_of):
                 if (key, t, s) != group:
                     group, trees, stored_sets, component = (key, t, s), None, [], {}
-                one = Stored(rep, np.array(tail, np.int64).view(np.uint64), size, size - pos)
+                one = Stored(rep, tail.copy(), size, size - pos)
                 if not side:
                     stored_sets.append(one)
                     component[rep] = own
@@ -348,7 +417,7 @@ def across(members: DataFrame, classes: DataFrame, found: DataFrame, threshold:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def groups(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
+def groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, by_parts: bool = False) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
     Null and empty texts, and texts of blanks, have no n-grams and are alone; a row without doc_id has no
@@ -358,12 +427,14 @@ def groups(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     spark = docs.sparkSession
     named = docs.filter("doc_id IS NOT NULL")
     levels = spark.sparkContext.broadcast(frequency_levels(named, n))
-    every = keep(sets(docs, n, threshold, levels))
-    # a class is represented by its smallest document, and brings that one's prefix along: prefixes are shuffled once
-    first = F.min(F.struct("doc_id", "size", "prefix")).alias("m")
-    classes = keep(every.filter("size > 0 AND doc_id IS NOT NULL").groupBy("print").agg(first).select("print", F.col("m.doc_id").alias("rep"), "m.size", "m.prefix"))
-    keys = classes.select("rep", "size", F.posexplode("prefix").alias("pos", "key"))
-    # the class in which the n-gram comes first is the hub of all that have it
+    every = keep(sets(docs, n, threshold, levels, by_parts))
+    # a class is represented by its smallest document, and brings that one's keys along: keys are shuffled once
+    first = F.min(F.struct("doc_id", "size", "keys")).alias("m")
+    classes = keep(every.filter("size > 0 AND doc_id IS NOT NULL").groupBy("print").agg(first).select("print", F.col("m.doc_id").alias("rep"), "m.size", "m.keys"))
+    keys = classes.select("rep", "size", F.posexplode("keys").alias("pos", "key"))
+    if by_parts:
+        keys = keys.withColumn("pos", F.lit(0))
+    # the class in which the n-gram comes first is the hub of all that have it; the smallest class, of those with a part
     hubs = keys.groupBy("key").agg(F.min(F.struct("pos", "rep", "size")).alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
     # what is joined here grows with the input, so it is never broadcast
     members = keep(keys.join(hubs.hint("merge"), "key"))
@@ -374,11 +445,18 @@ def groups(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     texts = keep(packed(named).join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"))
     links = keep(verified(stars, texts, n, threshold, levels))
     found = keep(components(links))
+
+    def tails(rows: DataFrame) -> DataFrame:
+        if not by_parts:
+            return rows.join(classes.select("rep", "keys").hint("merge"), "rep").withColumn("tail", F.slice("keys", F.col("pos") + 1, TAIL))
+        reps = rows.select(F.col("rep").alias("doc_id")).distinct()
+        return rows.join(keep(heads(texts.join(reps.hint("merge"), "doc_id", "left_semi"), n, threshold, levels)).hint("merge"), "rep")
+
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = across(members, classes, found, threshold).join(tried, ["a", "b"], "left_anti")
+    pairs = across(members, tails, found, threshold).join(tried, ["a", "b"], "left_anti")
     more = keep(verified(keep(pairs), texts, n, threshold, levels))
     final = found if more.isEmpty() else keep(components(links.union(more)))
-    of_class = classes.join(final, classes.rep == final.node, "left").select("print", F.coalesce("component", "rep").alias("component_id"))
+    of_class = classes.select("print", "rep").join(final, F.col("rep") == final.node, "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     return (
         every.join(of_class, "print", "left")
         .select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
@@ -386,4 +464,4 @@ def groups(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, threshold=0.9)
+    return groups(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, threshold=0.9, by_parts=True)
