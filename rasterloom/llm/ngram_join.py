@@ -431,17 +431,20 @@ def groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, by_parts: bool =
     # a class is represented by its smallest document, and brings that one's keys along: keys are shuffled once
     first = F.min(F.struct("doc_id", "size", "keys")).alias("m")
     classes = keep(every.filter("size > 0 AND doc_id IS NOT NULL").groupBy("print").agg(first).select("print", F.col("m.doc_id").alias("rep"), "m.size", "m.keys"))
-    keys = classes.select("rep", "size", F.posexplode("keys").alias("pos", "key"))
-    if by_parts:
-        keys = keys.withColumn("pos", F.lit(0))
-    # the class in which the n-gram comes first is the hub of all that have it; the smallest class, of those with a part
-    hubs = keys.groupBy("key").agg(F.min(F.struct("pos", "rep", "size")).alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # the class in which the n-gram comes first is the hub of all that have it; the smallest class, of those with a part.
     # what is joined here grows with the input, so it is never broadcast
-    members = keep(keys.join(hubs.hint("merge"), "key"))
-    stars = keep(
-        members.filter((F.col("hub.rep") != F.col("rep")) & reach(F.col("hub.size"), F.col("hub.pos"), F.col("size"), F.col("pos"), threshold))
-        .select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    )
+    if by_parts:
+        keys = classes.select("rep", "size", F.lit(0).alias("pos"), F.explode("keys").alias("key"))
+        hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").drop("last")
+        members = keep(keys.join(hubs.hint("merge"), "key"))
+        near = members.filter("hub <> rep").withColumnRenamed("hub", "a")
+    else:
+        keys = classes.select("rep", "size", F.posexplode("keys").alias("pos", "key"))
+        hubs = keys.groupBy("key").agg(F.min(F.struct("pos", "rep", "size")).alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        members = keep(keys.join(hubs.hint("merge"), "key"))
+        fits = reach(F.col("hub.size"), F.col("hub.pos"), F.col("size"), F.col("pos"), threshold)
+        near = members.filter((F.col("hub.rep") != F.col("rep")) & fits).withColumn("a", F.col("hub.rep"))
+    stars = keep(near.select("a", F.col("rep").alias("b")).distinct())
     texts = keep(packed(named).join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"))
     links = keep(verified(stars, texts, n, threshold, levels))
     found = keep(components(links))
