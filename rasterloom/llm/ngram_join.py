@@ -153,7 +153,7 @@ class Parts:
             differ = int(2 * self.largest[c] * (1 - self.threshold) / (1 + self.threshold) + 1e-9)
             if not differ:
                 continue
-            slack = differ // 8 + 1
+            slack = differ // 16 + 1
             count = differ + slack + 1
             part = (mixed % np.uint64(count)).astype(np.int64)
             order = np.argsort(part, kind="stable")
