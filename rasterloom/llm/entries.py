@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, html_extract, license_scan, line_dedup, ngram_join, quality_rules, sharding, suffix_dedup, token_counts
+from . import bpe, decontamination, html_extract, license_scan, line_dedup, ngram_join, quality_rules, sharding, suffix_dedup, token_counts, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_sharding": sharding.op8_sharding,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_html_extract": html_extract.op10_html_extract,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
