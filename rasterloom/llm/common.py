@@ -44,18 +44,29 @@ def keep(df: DataFrame) -> DataFrame:
     if not _scratch:
         atexit.register(drop_kept)
     _scratch[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def forget(kept: DataFrame) -> None:
+    """Delete the files of keep(), once nothing reads them any more."""
+    delete(kept.kept_at)
 
 
 def drop_kept() -> None:
     """Delete what keep() has written; results that still read it are lost."""
-    for path, spark in list(_scratch.items()):
+    for path in list(_scratch):
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            delete(path)
         except Exception:  # the JVM may be gone already; the folder is then left to its owner
             pass
-        _scratch.pop(path, None)
+
+
+def delete(path: str) -> None:
+    spark = _scratch.pop(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def per_row(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str, rows: int = 256) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, html_extract, license_scan, line_dedup, ngram_join, quality_rules, sharding, suffix_dedup, token_counts, whitening
+from . import bpe, decontamination, html_extract, license_scan, line_dedup, ngram_join, quality_rules, sharding, suffix_dedup, token_counts, vector_codes, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_sharding": sharding.op8_sharding,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_html_extract": html_extract.op10_html_extract,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
         "op13_whitening": whitening.op13_whitening,
     }
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontamination": decontamination.OP3_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
         "op7_short_runs": line_dedup.OP7_SHORT_SQL,
+        "op11_vector_codes": vector_codes.OP11_SQL,
     }
