@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, html_extract, license_scan, line_dedup, ngram_join, quality_rules, sharding, suffix_dedup, token_counts, vector_codes, whitening
+from . import bpe, decontamination, html_extract, license_scan, line_dedup, ngram_join, quality_rules, sharding, suffix_dedup, super_kmers, token_counts, vector_codes, whitening
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_html_extract": html_extract.op10_html_extract,
         "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_substring_dedup": super_kmers.op12_substring_dedup,
         "op13_whitening": whitening.op13_whitening,
     }
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": line_dedup.OP7_SQL,
         "op7_short_runs": line_dedup.OP7_SHORT_SQL,
         "op11_vector_codes": vector_codes.OP11_SQL,
+        "op12_substring_dedup": super_kmers.OP12_SQL,
     }
