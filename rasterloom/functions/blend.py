@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 def channel(mode: str, base: Column, top: Column) -> Column:
     """One channel (0..1) of a separable mode; an unknown mode is normal."""
     one, two = F.lit(1.0), F.lit(2.0)
-    screen = one - (one - base) * (one - top)
     hard = lambda by: F.when(by < 0.5, two * base * top).otherwise(one - two * (one - base) * (one - top))
-    curve = F.when(base <= 0.25, ((16.0 * base - 12.0) * base + 4.0) * base).otherwise(F.sqrt(base))
-    return {
-        "multiply": base * top, "screen": screen, "overlay": hard(base), "darken": F.least(base, top), "lighten": F.greatest(base, top),
-        "color_dodge": F.when(base <= 0, 0.0).when(top >= 1, 1.0).otherwise(F.least(one, base / F.when(top < 1, one - top))),
-        "color_burn": F.when(base >= 1, 1.0).when(top <= 0, 0.0).otherwise(one - F.least(one, (one - base) / F.when(top > 0, top))),
-        "hard_light": hard(top),
-        "soft_light": F.when(top <= 0.5, base - (one - two * top) * base * (one - base)).otherwise(base + (two * top - one) * (curve - base)),
-        "difference": F.abs(base - top), "exclusion": base + top - two * base * top,
-    }.get(mode, top)
+    curve = lambda: F.when(base <= 0.25, ((16.0 * base - 12.0) * base + 4.0) * base).otherwise(F.sqrt(base))
+    of = {
+        "multiply": lambda: base * top, "screen": lambda: one - (one - base) * (one - top), "overlay": lambda: hard(base),
+        "darken": lambda: F.least(base, top), "lighten": lambda: F.greatest(base, top),
+        "color_dodge": lambda: F.when(base <= 0, 0.0).when(top >= 1, 1.0).otherwise(F.least(one, base / F.when(top < 1, one - top))),
+        "color_burn": lambda: F.when(base >= 1, 1.0).when(top <= 0, 0.0).otherwise(one - F.least(one, (one - base) / F.when(top > 0, top))),
+        "hard_light": lambda: hard(top),
+        "soft_light": lambda: F.when(top <= 0.5, base - (one - two * top) * base * (one - base)).otherwise(base + (two * top - one) * (curve() - base)),
+        "difference": lambda: F.abs(base - top), "exclusion": lambda: base + top - two * base * top,
+    }.get(mode, lambda: top)
+    return of()
 
 
 MODES = ("normal", "multiply", "screen", "overlay", "darken", "lighten", "color_dodge", "color_burn", "hard_light", "soft_light", "difference", "exclusion")
@@ -75,21 +76,31 @@ def whole(mode: str, base: dict[str, Column], top: dict[str, Column]) -> Column:
     return set_luminosity(base, luminosity(top))
 
 
-def over(mode: str, base: dict[str, Column], top: dict[str, Column], opacity: float) -> dict[str, Column]:
-    """Bytes r, g, b, a of top over base.  Where top has no alpha, or opacity is 0, base stays."""
+def any_mode(mode: Column, below: dict[str, Column], above: dict[str, Column]) -> Column:
+    """A struct of r, g, b by a mode that each row names; an unknown or null one is normal."""
+    mixed = F.when(F.lit(False), packed(above))
+    for m in (*MODES[1:], *WHOLE):
+        mixed = mixed.when(mode == m, whole(m, below, above) if m in WHOLE else packed({k: channel(m, below[k], above[k]) for k in "rgb"}))
+    return mixed.otherwise(packed(above))
+
+
+def over(mode: str | Column, base: dict[str, Column], top: dict[str, Column], opacity: float | Column) -> Column:
+    """A struct of bytes r, g, b, a: top over base.  Where top has no alpha, or opacity is 0, base stays."""
     unit = lambda c: {k: c[k] / 255.0 for k in "rgb"}
     below, above = unit(base), unit(top)
-    mixed = whole(mode, below, above) if mode in WHOLE else packed({k: channel(mode, below[k], above[k]) for k in "rgb"})
+    if isinstance(mode, Column):
+        mixed = any_mode(mode, below, above)
+    else:
+        mixed = whole(mode, below, above) if mode in WHOLE else packed({k: channel(mode, below[k], above[k]) for k in "rgb"})
     ab, at = base["a"] / 255.0, top["a"] / 255.0 * opacity
     ao = at + ab * (1.0 - at)
     byte = lambda v: F.floor(F.round(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * 255.0 + 0.5, 6)).cast("int")
 
     def out(mixed: dict[str, Column]) -> Column:
         parts = {k: (at * mixed[k] + ab * below[k] * (1.0 - at)) / ao for k in "rgb"} | {"a": ao}
-        return F.struct(*[F.when(at <= 0, base[k]).otherwise(byte(v)).alias(k) for k, v in parts.items()])
+        return F.struct(*[F.when(at <= 0, base[k]).otherwise(byte(v)).cast("int").alias(k) for k, v in parts.items()])
 
-    done = F.get(F.transform(F.array(mixed), lambda s: out({k: s[k] for k in "rgb"})), F.lit(0))
-    return {k: done[k] for k in "rgba"}
+    return F.get(F.transform(F.array(mixed), lambda s: out({k: s[k] for k in "rgb"})), F.lit(0))
 
 
 def over_whole_numbers(base: dict[str, Column], top: dict[str, Column], opacity: int) -> dict[str, Column]:

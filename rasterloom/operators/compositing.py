@@ -24,7 +24,7 @@ def sides(df: DataFrame) -> tuple[dict, dict]:
 
 def blended(df: DataFrame, mode: str, opacity: float = 1.0) -> DataFrame:
     base, top = sides(df)
-    return df.select("image_id", "x", "y", *[v.alias(k) for k, v in blend.over(mode, base, top, opacity).items()])
+    return df.select("image_id", "x", "y", blend.over(mode, base, top, opacity).alias("o")).select("image_id", "x", "y", "o.*")
 
 
 def region(df: DataFrame, dx: int, dy: int, mode: str, opacity: float) -> DataFrame:
@@ -32,7 +32,8 @@ def region(df: DataFrame, dx: int, dy: int, mode: str, opacity: float) -> DataFr
     joined = pairs(df, dx=dx, dy=dy, how="left")
     base, top = sides(joined)
     mixed = blend.over(mode, base, {k: F.coalesce(v, F.lit(0)) for k, v in top.items()}, opacity)
-    return joined.select("image_id", "x", "y", *[F.when(F.col("t_a").isNull(), F.col(k)).otherwise(v).alias(k) for k, v in mixed.items()])
+    own = F.struct(*[base[k].cast("int").alias(k) for k in "rgba"])
+    return joined.select("image_id", "x", "y", F.when(F.col("t_a").isNull(), own).otherwise(mixed).alias("o")).select("image_id", "x", "y", "o.*")
 
 
 def masked(df: DataFrame) -> DataFrame:
