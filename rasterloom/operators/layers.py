@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .graphs import levels, spread_up
 from .timeline import _FRAMES, frames, lasting
 
 FRAME = ["anim_id", "frame_no", "delay_ms"]
@@ -86,19 +87,11 @@ def child_moved(df: DataFrame, source: int, target: int) -> DataFrame:
     return in_place(n.withColumn("to", F.when(ok, own).otherwise(F.col("z") * 2)), "to").drop("n", "to")
 
 
-def tree_bounds(df: DataFrame, depth: int = 8) -> DataFrame:
-    """For every layer the bounds of what it and its descendants show; empty rectangles don't count; null if none does.
-
-    Each layer is sent up to its ancestors one step a round, in joins by id, and combined before the shuffle.
-    """
+def tree_bounds(df: DataFrame) -> DataFrame:
+    """For every layer the bounds of what it and its descendants show, however deep; empty rectangles don't count; null if none does."""
     shown = F.col("w") > 0
     boxes = df.select("id", *[F.when(shown, v).alias(k) for k, v in (("x0", F.col("x")), ("y0", F.col("y")), ("x1", F.col("x") + F.col("w")), ("y1", F.col("y") + F.col("h")))])
-    up = df.filter("parent IS NOT NULL").select(F.col("id").alias("child"), "parent")
-    total, wave = boxes, boxes
-    for _ in range(depth):
-        wave = wave.join(up, wave.id == up.child).select(F.col("parent").alias("id"), "x0", "y0", "x1", "y1").groupBy("id").agg(*bounds())
-        total = total.unionByName(wave)
-    return total.groupBy("id").agg(*bounds())
+    return spread_up(boxes, df, bounds())
 
 
 def bounds() -> list[Column]:
@@ -131,19 +124,6 @@ def merged_down(df: DataFrame, at: int) -> DataFrame:
     return in_place(left.withColumn("w", F.col("fx") - F.col("x")).withColumn("h", F.col("fy") - F.col("y")).drop("fx", "fy"), "z")
 
 
-def levels(edges: DataFrame, nodes: DataFrame, rounds: int = 16) -> DataFrame:
-    """id and level of each node of an acyclic graph (a before b): 0 without predecessors, else one more than the highest of these.
-
-    Sorting by level and id is an order in which every node comes after all that it needs.  Levels rise until none
-    does, a join and a combined group-by for each round; a graph that isn't done after `rounds` has a cycle, or is deeper.
-    """
-    now = nodes.select("id", F.lit(0).alias("level"))
-    for _ in range(rounds):
-        need = edges.join(now, F.col("a") == F.col("id")).groupBy("b").agg((F.max("level") + 1).alias("least"))
-        now = now.join(need, F.col("id") == F.col("b"), "left").select("id", F.greatest("level", F.coalesce("least", F.lit(0))).alias("level"))
-    return now
-
-
 def parts_graph(s, d) -> tuple[DataFrame, DataFrame]:
     """Nations depend on their regions, suppliers on nations and on the supplier of half their key."""
     sup, nat = table(s, d, "supplier"), table(s, d, "nation")
@@ -181,10 +161,10 @@ OPS = {
     "layers": (layers, _LAYERS + " SELECT * FROM l"),
     "layer_removed": (lambda s, d: without_child(layers(s, d), 1), _LAYERS + f" SELECT id, parent, x, y, w, h, {_Z.format(o='z')} FROM l WHERE z <> 1 OR parent IS NULL"),
     "layer_moved": (lambda s, d: child_moved(layers(s, d), 1, 3), _MOVED),
-    "layer_bounds": (lambda s, d: tree_bounds(layers(s, d), 3), _UP),
+    "layer_bounds": (lambda s, d: tree_bounds(layers(s, d)), _UP),
     "layers_duplicated": (lambda s, d: duplicated(layers(s, d), 10**6), _LAYERS + " SELECT id + 1000000 AS id, parent + 1000000 AS parent, x, y, w, h, z FROM l"),
     "layer_merged_down": (lambda s, d: merged_down(layers(s, d), 2), _MERGED),
-    "graph_levels": (lambda s, d: levels(*parts_graph(s, d), rounds=5), _LEVELS),
+    "graph_levels": (lambda s, d: levels(*parts_graph(s, d)), _LEVELS),
     "references_missing": (
         lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left_anti").select("doc_id"),
         "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)"),

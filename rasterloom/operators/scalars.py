@@ -88,5 +88,5 @@ OPS = {
     "trim_documents": (lambda s, d: table(s, d, "documents").select("doc_id", text.trim(F.col("text")).alias("text")), "SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM documents"),
     "glob_urls": (lambda s, d: table(s, d, "pages").select("page_id", text.glob(F.col("url"), "http?://*.example.net/*").alias("fits")), "SELECT page_id, url GLOB 'http?://*.example.net/*' AS fits FROM pages"),
     "split_urls": (lambda s, d: table(s, d, "pages").select("page_id", F.explode(text.split(F.col("url"), "/")).alias("part")), "SELECT page_id, unnest(CASE WHEN p[-1] = '' THEN p[1:-2] ELSE p END) AS part FROM (SELECT page_id, string_split(url, '/') AS p FROM pages)"),
-    "trim_words": (lambda s, d: table(s, d, "benchmark").select("item_id", text.trim(F.substring("text", 1, 30)).alias("start")), "SELECT item_id, trim(substr(text, 1, 30), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS start FROM benchmark"),
+    "trim_words": (lambda s, d: table(s, d, "benchmark").select("item_id", text.trim(F.col("text")).alias("start")), "SELECT item_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS start FROM benchmark"),
 }

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .graphs import walked
+
 
 def in_order():
     return Window.partitionBy("anim_id").orderBy("frame_no")
@@ -86,18 +88,8 @@ def tree(s, d) -> DataFrame:
     return regions.union(nations).union(s.sql("SELECT 1L AS id, CAST(NULL AS BIGINT) AS parent"))
 
 
-def walked(s, nodes: DataFrame) -> DataFrame:
-    """Each node with its depth and place in depth-first order, by a recursive query over a small table."""
-    nodes.createOrReplaceTempView("rl_nodes")
-    return s.sql("""
-        WITH RECURSIVE w(id, depth, path) AS (
-          SELECT id, 0, CAST(lpad(id, 6, '0') AS STRING) FROM rl_nodes WHERE parent IS NULL
-          UNION ALL SELECT n.id, w.depth + 1, concat(w.path, '/', lpad(n.id, 6, '0')) FROM rl_nodes n JOIN w ON n.parent = w.id)
-        SELECT id, depth, path FROM w""")
-
-
 _FRAMES = "WITH fr AS (SELECT conv_id AS anim_id, turn AS frame_no, CAST(max(length(coalesce(text, ''))) % 20 * 10 AS BIGINT) AS delay_ms FROM conversations GROUP BY ALL), lo AS (SELECT anim_id, frame_no, CASE WHEN delay_ms <= 0 THEN 10 ELSE delay_ms END AS delay_ms FROM fr), ti AS (SELECT *, CAST(sum(delay_ms) OVER (PARTITION BY anim_id ORDER BY frame_no) - delay_ms AS BIGINT) AS start_ms, CAST(sum(delay_ms) OVER (PARTITION BY anim_id) AS BIGINT) AS total_ms FROM lo)"
-_TREE = "WITH RECURSIVE nd AS (SELECT 1 AS id, NULL AS parent UNION ALL SELECT r_regionkey + 10, 1 FROM region UNION ALL SELECT n_nationkey + 100, n_regionkey + 10 FROM nation), w AS (SELECT id, 0 AS depth, lpad(CAST(id AS VARCHAR), 6, '0') AS path FROM nd WHERE parent IS NULL UNION ALL SELECT nd.id, depth + 1, path || '/' || lpad(CAST(nd.id AS VARCHAR), 6, '0') FROM nd JOIN w ON nd.parent = w.id) SELECT CAST(id AS BIGINT) AS id, depth, path FROM w"
+_TREE = "WITH RECURSIVE nd AS (SELECT 1 AS id, NULL AS parent UNION ALL SELECT r_regionkey + 10, 1 FROM region UNION ALL SELECT n_nationkey + 100, n_regionkey + 10 FROM nation), w AS (SELECT id, 0 AS depth, lpad(CAST(id AS VARCHAR), 19, '0') AS path FROM nd WHERE parent IS NULL UNION ALL SELECT nd.id, depth + 1, path || '/' || lpad(CAST(nd.id AS VARCHAR), 19, '0') FROM nd JOIN w ON nd.parent = w.id) SELECT CAST(id AS BIGINT) AS id, depth, path FROM w"
 _STARTS = [sum(SHOW[:i]) for i in range(len(SHOW))]
 _FRAME = "CASE " + " ".join(f"WHEN t % {sum(SHOW)} >= {_STARTS[i]} THEN {i}" for i in reversed(range(len(SHOW)))) + " END"
 _PLAY = f"WITH r AS (SELECT user_id AS player_id, event_id AS seq, sum((event_id % 7 + 1) * 30) OVER (PARTITION BY user_id ORDER BY event_id) AS t FROM events) SELECT player_id, seq, CAST(CASE WHEN t >= {3 * sum(SHOW)} THEN {len(SHOW) - 1} ELSE {_FRAME} END AS INTEGER) AS frame, CAST(least(3, t // {sum(SHOW)}) AS BIGINT) AS loops, t >= {3 * sum(SHOW)} AS finished FROM r"
@@ -110,7 +102,7 @@ OPS = {
     "frames_scaled": (lambda s, d: scaled(frames(s, d), 1.5), _FRAMES + " SELECT anim_id, frame_no, CAST(greatest(1, floor(delay_ms * 1.5)) AS BIGINT) AS delay_ms FROM lo"),
     "frames_part": (lambda s, d: part(frames(s, d), 1, 4), _FRAMES + ", pl AS (SELECT *, row_number() OVER (PARTITION BY anim_id ORDER BY frame_no) - 1 AS place FROM fr) SELECT anim_id, place - 1 AS frame_no, delay_ms FROM pl WHERE place >= 1 AND place < 4"),
     "player_advance": (lambda s, d: advanced(ticks(s, d)), _PLAY),
-    "tree_walk": (lambda s, d: walked(s, tree(s, d)), _TREE),
+    "tree_walk": (lambda s, d: walked(tree(s, d)), _TREE),
     "priority_order": (
         lambda s, d: table(s, d, "orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderpriority", "o_orderkey")).alias("turn")),
         "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS INTEGER) AS turn FROM orders"),
