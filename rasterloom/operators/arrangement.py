@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..oracle import PX
-from ..sources.tables import KEY, SIDE, pixels
+from ..sources.tables import KEY, SIDE, pixels, table
 
 #: Fixed value: a palette of sixteen.
 PALETTE = tuple((r * (170 if not hi else 255), g * (170 if not hi else 255), b * (170 if not hi else 255)) for hi in (0, 1) for r in (0, 1) for g in (0, 1) for b in (0, 1))
@@ -54,14 +54,28 @@ def rectangle(df: DataFrame, x: int, y: int, width: int, height: int, color: tup
     return df.withColumns(mixed | {"a": F.when(there, F.greatest("a", F.lit(alpha))).otherwise(F.col("a"))})
 
 
-def mandelbrot(spark: SparkSession, width: int = 24, height: int = 16, rounds: int = 40) -> DataFrame:
-    """x, y and the rounds until escape; each point iterates within its row."""
-    at = spark.range(width * height).select((F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"))
-    cr, ci = F.col("x") * (3.0 / width) - 2.0, F.col("y") * (2.0 / height) - 1.0
-    begin = F.struct(F.lit(0.0).alias("r"), F.lit(0.0).alias("i"), F.lit(0).alias("n"))
+def escapes(views: DataFrame, width: int = 24, height: int = 16, rounds: int = 40) -> DataFrame:
+    """view_id, x, y and the rounds of z * z + c until a point leaves the circle of radius 2; each point iterates within its row.
+
+    views: view_id, left, top, step, and cr, ci: the c of a Julia set, whose points begin at their place; null for the
+    Mandelbrot set, where a point's place is its c.
+    """
+    place = F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))).alias("i")
+    at = views.select("*", place).select("view_id", "cr", "ci", (F.col("i") % width).alias("x"), F.floor(F.col("i") / width).cast("int").alias("y"), "left", "top", "step")
+    u, v = F.col("left") + F.col("x") * F.col("step"), F.col("top") + F.col("y") * F.col("step")
+    own = F.col("cr").isNull()
+    c_r, c_i = F.coalesce("cr", u), F.coalesce("ci", v)
+    begin = F.struct(F.when(own, 0.0).otherwise(u).alias("r"), F.when(own, 0.0).otherwise(v).alias("i"), F.lit(0).alias("n"))
     step = lambda z, _: F.when(z["r"] * z["r"] + z["i"] * z["i"] > 4.0, z).otherwise(F.struct(
-        (z["r"] * z["r"] - z["i"] * z["i"] + cr).alias("r"), (F.lit(2.0) * z["r"] * z["i"] + ci).alias("i"), (z["n"] + 1).alias("n")))
-    return at.select("x", "y", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, step)["n"].alias("n"))
+        (z["r"] * z["r"] - z["i"] * z["i"] + c_r).alias("r"), (F.lit(2.0) * z["r"] * z["i"] + c_i).alias("i"), (z["n"] + 1).alias("n")))
+    return at.select("view_id", "x", "y", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, step)["n"].alias("n"))
+
+
+def views(s, d, julia: bool) -> DataFrame:
+    """A view for each supplier, each a little to the right of the one before; Julia sets take their c from the key, too."""
+    k = F.col("s_suppkey")
+    c = [(k % 8 / 16.0 - 0.75), (k % 5 / 8.0 - 0.25)] if julia else [F.lit(None).cast("double")] * 2
+    return table(s, d, "supplier").select(k.alias("view_id"), (k % 32 / 64.0 - 2.0).alias("left"), F.lit(-1.0).alias("top"), F.lit(0.125).alias("step"), c[0].alias("cr"), c[1].alias("ci"))
 
 
 _ENTRIES = ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(PALETTE))
@@ -72,10 +86,13 @@ FROM px JOIN ti ON x BETWEEN tx * 4 - 1 AND tx * 4 + 4 AND y BETWEEN ty * 4 - 1
 _SHIFT = PX + " SELECT p.image_id, p.x, p.y, q.r, p.g, s.b, p.a FROM px p JOIN px q ON q.image_id = p.image_id AND q.y = p.y AND q.x = least(p.x + 2, 7) JOIN px s ON s.image_id = p.image_id AND s.y = p.y AND s.x = greatest(p.x - 2, 0)"
 _IN = "x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 3"
 _RECT = PX + " SELECT image_id, x, y, " + ", ".join(f"CASE WHEN {_IN} THEN CAST(({c} * 155 + {v} * 100) // 255 AS INTEGER) ELSE {c} END AS {c}" for c, v in zip("rgb", (250, 20, 90))) + f", CASE WHEN {_IN} THEN greatest(a, 100) ELSE a END AS a FROM px"
-_MANDELBROT = """WITH RECURSIVE g AS (SELECT CAST(i % 24 AS INTEGER) AS x, CAST(i // 24 AS INTEGER) AS y FROM (SELECT unnest(range(384)) AS i)),
-c AS (SELECT x, y, x * CAST(0.125 AS DOUBLE) - 2 AS cr, y * CAST(0.125 AS DOUBLE) - 1 AS ci FROM g),
-z AS (SELECT x, y, cr, ci, CAST(0 AS DOUBLE) AS r, CAST(0 AS DOUBLE) AS i, 0 AS n FROM c UNION ALL SELECT x, y, cr, ci, r * r - i * i + cr, CAST(2 AS DOUBLE) * r * i + ci, n + 1 FROM z WHERE n < 40 AND r * r + i * i <= 4)
-SELECT x, y, max(n) AS n FROM z GROUP BY x, y"""
+def _escapes(julia: bool) -> str:
+    c = ("s_suppkey % 8 / CAST(16 AS DOUBLE) - 0.75", "s_suppkey % 5 / CAST(8 AS DOUBLE) - 0.25") if julia else ("u", "v")
+    start = ("u", "v") if julia else ("CAST(0 AS DOUBLE)",) * 2
+    return f"""WITH RECURSIVE g AS (SELECT s_suppkey, CAST(i % 24 AS INTEGER) AS x, CAST(i // 24 AS INTEGER) AS y, s_suppkey % 32 / CAST(64 AS DOUBLE) - 2 + i % 24 * CAST(0.125 AS DOUBLE) AS u, i // 24 * CAST(0.125 AS DOUBLE) - 1 AS v FROM supplier, unnest(range(384)) AS q(i)),
+z AS (SELECT s_suppkey AS view_id, x, y, {c[0]} AS cr, {c[1]} AS ci, {start[0]} AS r, {start[1]} AS i, 0 AS n FROM g UNION ALL SELECT view_id, x, y, cr, ci, r * r - i * i + cr, CAST(2 AS DOUBLE) * r * i + ci, n + 1 FROM z WHERE n < 40 AND r * r + i * i <= 4)
+SELECT view_id, x, y, max(n) AS n FROM z GROUP BY view_id, x, y"""
+
 
 OPS = {
     "nearest_palette": (lambda s, d: nearest(pixels(s, d)), _NEAREST + " SELECT * FROM ne"),
@@ -83,5 +100,6 @@ OPS = {
     "tiles_with_halo": (lambda s, d: tile_sums(pixels(s, d)), _TILES),
     "channel_shift": (lambda s, d: channel_shift(pixels(s, d), 2), _SHIFT),
     "draw_rectangle": (lambda s, d: rectangle(pixels(s, d), 2, 1, 4, 3, (250, 20, 90), 100), _RECT),
-    "mandelbrot": (lambda s, d: mandelbrot(s), _MANDELBROT),
+    "mandelbrot": (lambda s, d: escapes(views(s, d, False)), _escapes(False)),
+    "julia": (lambda s, d: escapes(views(s, d, True)), _escapes(True)),
 }

@@ -14,8 +14,8 @@ from math import ceil, cos, exp, radians, sin
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..oracle import GRADIENTS, PX, byte as sql_byte, f, pick
-from ..sources.tables import byte, f32, gradients, images
+from ..oracle import QUILTS, PX, byte as sql_byte, f, pick
+from ..sources.tables import byte, f32, images, quilts
 
 #: Weights row by row, divisor, offset.
 KERNELS = {
@@ -319,16 +319,16 @@ _LINKED = "s.image_id = t.image_id AND s.channel = t.channel"
 
 
 def _colour(value: str, reach: int, on: str, taps: str = "") -> str:
-    return (f"{GRADIENTS} SELECT t.image_id, t.channel, t.x, t.y, {value} AS v FROM gr t, {taps or _taps(reach)} k "
+    return (f"{QUILTS} SELECT t.image_id, t.channel, t.x, t.y, {value} AS v FROM gr t, {taps or _taps(reach)} k "
             f"JOIN gr s ON {_LINKED} AND {on} GROUP BY t.image_id, t.channel, t.x, t.y, t.v")
 
 
 _EDGE_32 = "s.x = greatest(0, least(31, t.x + dx)) AND s.y = greatest(0, least(23, t.y + dy))"
 _GAUSS = _colour(sql_byte(f"{f('sum(w * s.v)')} / {f(159)}"), 0, _EDGE_32, "(VALUES " + ", ".join(f"({k % 5 - 2}, {k // 5 - 2}, {w})" for k, w in enumerate(KERNELS["gauss5"][0])) + ") AS k0(dx, dy, w)").replace("AS k0(dx, dy, w) k", "AS k(dx, dy, w)")
-_KUWAHARA = (f"{GRADIENTS}, qu(k, dx, dy) AS (VALUES " + ", ".join(f"({k}, {sx * dx}, {sy * dy})" for k, (sx, sy) in enumerate(((-1, -1), (1, -1), (-1, 1), (1, 1))) for dy in (0, 1) for dx in (0, 1)) + "), "
+_KUWAHARA = (f"{QUILTS}, qu(k, dx, dy) AS (VALUES " + ", ".join(f"({k}, {sx * dx}, {sy * dy})" for k, (sx, sy) in enumerate(((-1, -1), (1, -1), (-1, 1), (1, 1))) for dy in (0, 1) for dx in (0, 1)) + "), "
              f"qs AS (SELECT t.image_id, t.channel, t.x, t.y, k, sum(s.v) AS a, sum(s.v * s.v) AS b FROM gr t, qu JOIN gr s ON {_LINKED} AND {_EDGE_32} GROUP BY ALL) "
              "SELECT image_id, channel, x, y, CAST(a // 4 AS INTEGER) AS v FROM qs QUALIFY row_number() OVER (PARTITION BY image_id, channel, x, y ORDER BY b * 4 - a * a, k) = 1")
-_TURNED_32 = f"{GRADIENTS} SELECT image_id, channel, 23 - y AS x, x AS y, v FROM gr"
+_TURNED_32 = f"{QUILTS} SELECT image_id, channel, 23 - y AS x, x AS y, v FROM gr"
 
 OPS = {
     **{f"convolve_{k}": (lambda s, d, k=k: as_pixels(convolve(images(s, d), k)), _convolution(k)) for k in KERNELS},
@@ -351,14 +351,14 @@ OPS = {
     "crop": (lambda s, d: as_pixels(moved(images(s, d), lambda x, y: (x + 2, y + 3), F.lit(4), F.lit(7))), _at(4, 7, "tx + 2", "ty + 3")),
     **{k: (lambda s, d, to=to: as_pixels(moved(images(s, d), to)), _at(8, 8, *sql)) for k, (to, sql) in _MOVES.items()},
     **{k: (lambda s, d, to=to: as_pixels(moved(images(s, d), to, height(), width())), _at(8, 8, *sql)) for k, (to, sql) in _TURNS.items()},
-    "gradients": (lambda s, d: as_pixels(gradients(s)), GRADIENTS + " SELECT * FROM gr"),
-    "colour_gauss5": (lambda s, d: as_pixels(convolve(gradients(s), "gauss5")), _GAUSS),
-    "colour_median": (lambda s, d: as_pixels(median(gradients(s), 1)), _colour("list_sort(list(s.v))[5]", 1, _EDGE_32)),
-    "colour_dilate": (lambda s, d: as_pixels(dilate(gradients(s), 2)), _colour("max(s.v)", 2, _EDGE_32)),
-    "colour_erode": (lambda s, d: as_pixels(erode(gradients(s), 1)), _colour("min(s.v)", 1, _EDGE_32)),
-    "colour_mean_blur": (lambda s, d: as_pixels(mean_blur(gradients(s), 1)), _colour("CAST(sum(s.v) // count(*) AS INTEGER)", 1, _WITHIN)),
-    "colour_kuwahara": (lambda s, d: as_pixels(kuwahara(gradients(s))), _KUWAHARA),
-    "colour_rotate_90": (lambda s, d: as_pixels(moved(gradients(s), _TURNS["rotate_90"][0], height(), width())), _TURNED_32),
-    "colour_flip": (lambda s, d: as_pixels(moved(gradients(s), _MOVES["flip_horizontal"][0])), f"{GRADIENTS} SELECT image_id, channel, 31 - x AS x, y, v FROM gr"),
-    "colour_crop": (lambda s, d: as_pixels(moved(gradients(s), lambda x, y: (x + 5, y + 9), F.lit(20), F.lit(11))), f"{GRADIENTS} SELECT image_id, channel, x - 5 AS x, y - 9 AS y, v FROM gr WHERE x BETWEEN 5 AND 24 AND y BETWEEN 9 AND 19"),
+    "gradients": (lambda s, d: as_pixels(quilts(s, d)), QUILTS + " SELECT * FROM gr"),
+    "colour_gauss5": (lambda s, d: as_pixels(convolve(quilts(s, d), "gauss5")), _GAUSS),
+    "colour_median": (lambda s, d: as_pixels(median(quilts(s, d), 1)), _colour("list_sort(list(s.v))[5]", 1, _EDGE_32)),
+    "colour_dilate": (lambda s, d: as_pixels(dilate(quilts(s, d), 2)), _colour("max(s.v)", 2, _EDGE_32)),
+    "colour_erode": (lambda s, d: as_pixels(erode(quilts(s, d), 1)), _colour("min(s.v)", 1, _EDGE_32)),
+    "colour_mean_blur": (lambda s, d: as_pixels(mean_blur(quilts(s, d), 1)), _colour("CAST(sum(s.v) // count(*) AS INTEGER)", 1, _WITHIN)),
+    "colour_kuwahara": (lambda s, d: as_pixels(kuwahara(quilts(s, d))), _KUWAHARA),
+    "colour_rotate_90": (lambda s, d: as_pixels(moved(quilts(s, d), _TURNS["rotate_90"][0], height(), width())), _TURNED_32),
+    "colour_flip": (lambda s, d: as_pixels(moved(quilts(s, d), _MOVES["flip_horizontal"][0])), f"{QUILTS} SELECT image_id, channel, 31 - x AS x, y, v FROM gr"),
+    "colour_crop": (lambda s, d: as_pixels(moved(quilts(s, d), lambda x, y: (x + 5, y + 9), F.lit(20), F.lit(11))), f"{QUILTS} SELECT image_id, channel, x - 5 AS x, y - 9 AS y, v FROM gr WHERE x BETWEEN 5 AND 24 AND y BETWEEN 9 AND 19"),
 }

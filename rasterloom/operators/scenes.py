@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import gradients, images
+from ..sources.tables import images, quilts
 
 #: The palettes of dithering.
 PALETTES = {
@@ -24,6 +24,7 @@ PALETTES = {
         (85, 85, 85), (85, 85, 255), (85, 255, 85), (85, 255, 255), (255, 85, 85), (255, 85, 255), (255, 255, 85), (255, 255, 255),
     ),
 }
+#: Weights of luma.
 LUMA = np.array([0.299, 0.587, 0.114], np.float32)
 
 
@@ -96,7 +97,7 @@ def without_seams(stack: np.ndarray, seams: int) -> np.ndarray:
                 above = np.pad(cost[:, y - 1], ((0, 0), (1, 1)), constant_values=np.inf)
                 ways = np.stack([above[each, x + 1], above[each, x], above[each, x + 2]])
                 x = x + np.array([0, -1, 1])[ways.argmin(0)]
-        stack = stack[keep].reshape(n, h, w - 1, 3)
+        stack = stack[keep].reshape(n, h, w - 1, stack.shape[-1])
     return stack
 
 
@@ -232,7 +233,7 @@ def corner_rows(df: DataFrame, k: float, threshold: float) -> DataFrame:
 
 OPS = {
     **{f"dither_{p}": (lambda s, d, p=p: colour_pixels(recoloured(colour_images(s, d), lambda v: dithered(v, p))), None) for p in ("mono", "cga", "ega", "web")},
-    "seam_carve_colour": (lambda s, d: colour_pixels(recoloured(whole_colours(gradients(s)), lambda v: without_seams(v, 4))), None),
+    "seam_carve_colour": (lambda s, d: colour_pixels(recoloured(whole_colours(quilts(s, d)), lambda v: without_seams(v, 4))), None),
     "canny_edges": (lambda s, d: plane(colour_images(s, d), lambda v: edges(v, 60.0, 160.0)), None),
     "harris_corners": (lambda s, d: corner_rows(colour_images(s, d), 0.04, 1000.0), None),
     "k_means": (lambda s, d: colour_pixels(recoloured(colour_images(s, d), lambda v: segmented(v, 4))), None),

@@ -6,10 +6,12 @@ px AS (SELECT image_id, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS
 gr AS (SELECT image_id, x, y, r AS v FROM px)"""
 
 
-#: Colour images of 32 x 24 made by a rule, a row for each sample of each channel.
-GRADIENTS = """WITH im AS (SELECT unnest(range(6)) AS image_id), at AS (SELECT CAST(i % 32 AS INTEGER) AS x, CAST(i // 32 AS INTEGER) AS y FROM (SELECT unnest(range(768)) AS i)),
-ch AS (SELECT unnest(['r', 'g', 'b']) AS channel),
-gr AS (SELECT image_id, channel, x, y, CAST(greatest(0, least(255, CASE channel WHEN 'r' THEN x * 255 // 32 WHEN 'g' THEN y * 255 // 24 ELSE (x + y) * 255 // 56 END - image_id * 3 + (x * 7 + y * 13) % 11)) AS INTEGER) AS v FROM im, ch, at AS pl(x, y))""".replace("at AS (SELECT", "pl AS (SELECT").replace("at AS pl(x, y)", "pl")
+#: Colour images of 32 x 24 of twelve images each, a row for each sample of each channel.
+QUILTS = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda q: CAST(greatest(0, least(255, floor(CAST(q AS DOUBLE) * 255 + 128))) AS INTEGER)) AS v FROM embeddings),
+o AS (SELECT vec_id // 12 AS image_id, v, row_number() OVER (PARTITION BY vec_id // 12 ORDER BY vec_id) - 1 AS k FROM e),
+fl AS (SELECT image_id, k * 64 + i AS p, v[i + 1] AS v FROM o, unnest(range(64)) AS u(i)),
+ch AS (SELECT unnest(['r', 'g', 'b']) AS channel, unnest([0, 256, 512]) AS move),
+gr AS (SELECT im.image_id, channel, CAST(p % 32 AS INTEGER) AS x, CAST(p // 32 AS INTEGER) AS y, coalesce(fl.v, 0) AS v FROM (SELECT DISTINCT image_id FROM o) im, ch, unnest(range(768)) AS g(p) LEFT JOIN fl ON fl.image_id = im.image_id AND fl.p = (g.p + move) % 768)""".replace("CAST(p % 32", "CAST(g.p % 32").replace("CAST(p // 32", "CAST(g.p // 32")
 
 
 def f(value) -> str:

@@ -16,6 +16,8 @@ from ..oracle import pick
 from .codecs import hex_bytes, little
 from .tables import images
 
+#: The largest side of an image, and the most samples for each byte of its file: with more, so much is missing that it isn't read.
+MOST_SIDE, MOST_A_BYTE = 32768, 64
 IMAGE = "struct<width:int,height:int,channels:int,v:array<int>>"
 
 
@@ -77,8 +79,10 @@ def netpbm(data: Column) -> Column:
             .otherwise(count(n, lambda i: scaled(binary(i))))
         )
 
-    good = (F.length(full) > 0) & most.between(1, 65535) & (width > 0) & (height > 0)
-    v = let(digits, lambda parts: let(bytes_of(data), lambda own: samples(parts, own, width * height * channels)))
+    # checked first, in longs: a header may claim any size
+    claimed = width.cast("long") * height.cast("long") * channels
+    good = (F.length(full) > 0) & most.between(1, 65535) & (width > 0) & (height > 0) & (width <= MOST_SIDE) & (height <= MOST_SIDE) & (claimed <= F.length(data).cast("long") * MOST_A_BYTE)
+    v = let(digits, lambda parts: let(bytes_of(data), lambda own: F.when(good, samples(parts, own, (width * height * channels)))))
     return F.when(good, image(width, height, channels, v))
 
 

@@ -29,22 +29,24 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("image_id"), side.alias("width"), side.alias("height"), samples(F.col("embedding")).alias("v"))
 
 
-def gradients(spark: SparkSession, count: int = 6, width: int = 32, height: int = 24) -> DataFrame:
-    """Colour images made by a rule, a row for each channel: image_id, channel, width, height, v.
+#: Width, height and source images of a quilt.
+QUILT = (32, 24, 12)
 
-    Red grows across, green down, blue along both; every image is a little darker than the one before.
+
+def quilts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour images of 32 x 24, a row for each channel: image_id, channel, width, height, v.
+
+    The samples of twelve images of the table, one after the other, are the red ones (0 where there are fewer); green and
+    blue are red moved on by a third and two thirds.
     """
-    ids = spark.range(count).select(F.col("id").alias("image_id"), F.lit(width).alias("width"), F.lit(height).alias("height"))
-    place = F.sequence(F.lit(0), F.lit(width * height - 1))
-    x, y = (lambda i: i % width), (lambda i: F.floor(i / width))
-    of = {
-        "r": lambda i: F.floor(x(i) * 255 / width), "g": lambda i: F.floor(y(i) * 255 / height),
-        "b": lambda i: F.floor((x(i) + y(i)) * 255 / (width + height)),
-    }
-    darker = lambda f: F.transform(place, lambda i: (f(i) - F.col("image_id") * 3 + (x(i) * 7 + y(i) * 13) % 11).cast("int"))
-    clipped = lambda f: F.transform(darker(f), lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(255)))
-    planes = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), clipped(f).alias("v")) for c, f in of.items()]))
-    return ids.select("*", planes.alias("plane")).select("image_id", "plane.channel", "width", "height", "plane.v")
+    width, height, n = QUILT
+    size, third = width * height, width * height // 3
+    twelve = images(spark, sf_dir).groupBy(F.floor(F.col("image_id") / n).alias("image_id")).agg(F.sort_array(F.collect_list(F.struct("image_id", "v"))).alias("l"))
+    flat = F.slice(F.concat(F.flatten(F.transform("l", lambda x: x["v"])), F.array_repeat(F.lit(0), size)), 1, size)
+    turn = lambda k: F.concat(F.slice("v", k + 1, size), F.slice("v", 1, k))
+    planes = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), turn(k * third).alias("v")) for k, c in enumerate("rgb")]))
+    return twelve.select("image_id", flat.alias("v")).select("image_id", F.lit(width).alias("width"), F.lit(height).alias("height"), planes.alias("p")).select(
+        "image_id", "p.channel", "width", "height", "p.v")
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,3 +161,43 @@ def test_shapes(spark):
     assert curve[0] == (0, 7) and curve[-1] == (7, 6) and all(abs(a[0] - b[0]) <= 1 and abs(a[1] - b[1]) <= 1 for a, b in zip(curve, curve[1:]))
     assert points(drawing.bezier([(0, 0), (0, 9), (9, 9), (9, 0)]))[-1] == (9, 0)
     assert len(points(drawing.rectangle(0, 0, 3, 2, True))) == 6
+
+
+def test_labels_of_a_long_way_and_of_noise():
+    def plain(v):
+        out, n = np.zeros(v.shape, int), 0
+        for y, x in zip(*np.nonzero(v >= 128)):
+            if not out[y, x]:
+                n += 1
+                todo = [(y, x)]
+                while todo:
+                    i, j = todo.pop()
+                    if 0 <= i < v.shape[0] and 0 <= j < v.shape[1] and v[i, j] >= 128 and not out[i, j]:
+                        out[i, j] = n
+                        todo += [(i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+        return out
+
+    snake = np.zeros((61, 61), int)
+    snake[::2] = 255
+    snake[1::4, -1] = snake[3::4, 0] = 255
+    assert labelled(snake).max() == 1
+    rng = np.random.default_rng(0)
+    for shape in ((1, 1), (1, 9), (9, 1), (17, 23), (40, 31)):
+        v = rng.integers(0, 256, shape)
+        assert (labelled(v) == plain(v)).all()
+
+
+def test_headers_that_claim_more_than_the_file_are_null(spark):
+    from rasterloom.sources import rasters
+
+    rows = [(1, b"P5 1000000 1000000 255\n"), (2, b"P6 30000 30000 255\nabc"), (3, b"P5 2 1 255\n\x07\x08"), (4, b"P1 99999999999999999999 1\n1"), (5, b"P4 2000 2000\n\xff")]
+    got = {r.k: r.im for r in spark.createDataFrame(rows, "k int, d binary").select("k", rasters.netpbm(F.col("d")).alias("im")).collect()}
+    assert [got[k] for k in (1, 2, 4, 5)] == [None] * 4 and got[3].v == [7, 8]
+
+
+def test_colour_seams_are_those_of_gray():
+    v = np.random.default_rng(2).integers(0, 256, (12, 14))
+    from rasterloom.operators import scenes
+
+    colour = scenes.without_seams(np.repeat(v[None, ..., None], 3, -1).astype(np.float32), 2)
+    assert (carved(v, 2) == colour[0, ..., 0]).all()
