@@ -43,7 +43,7 @@ HEAD = frozenset("head title meta link style script base noscript template".spli
 #: Words of class, id and role that name what isn't the article.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar "
-    "navigation breadcrumb breadcrumbs footer masthead comment comments reply replies disqus respond cookie cookies "
+    "navigation breadcrumb breadcrumbs foot footer copyright masthead comment comments reply replies disqus respond cookie cookies "
     "consent notice notices gdpr popup modal newsletter subscribe subscription signup share sharing social related "
     "recommended toolbar pagination pager widget complementary contentinfo alert dialog search skip".split()
 )
@@ -59,6 +59,10 @@ CLOSED_BY = {
     "tr": (("td", "th", "tr"), ("table",)), "option": (("option",), ("select", "datalist")),
 }
 ARTICLE = re.compile(r"\b(article|main|content|post|entry|story|articlebody)\b")
+#: Words of names that hold not an article but pointers to others.
+SEVERAL = re.compile(r"\b(lists?|teasers?|cards?|previews?|feed|archive|more|latest)\b")
+
+
 def named(said: str) -> bool:
     """Whether a class, id or role names what isn't the article: `ad`, `site-footer`, `comment-list`, not `with-sidebar`."""
     for name in said.split():
@@ -88,6 +92,7 @@ class Open(NamedTuple):
     named: bool = False
     region: int = 0  # the outermost region it stands in; 0: the page
     linked: bool = False
+    muted: bool = False  # it stands in an element within a line that isn't part of it: a drawing, a list of choices
 
 
 class Lines(HTMLParser):
@@ -126,7 +131,7 @@ class Lines(HTMLParser):
         if tag not in HEAD and (at := self.last("head")) >= 0:
             self.close_from(at)
         block = tag in BLOCK
-        if block and (at := self.last("p")) > self.last("td", "th", "button", "object"):
+        if block and not self.around().muted and (at := self.last("p")) > self.last("td", "th", "button", "object"):
             self.close_from(at)
         if tag in CLOSED_BY:
             closed, within = CLOSED_BY[tag]
@@ -135,7 +140,7 @@ class Lines(HTMLParser):
                 self.close_from(min(places))
         around = self.around()
         if tag in VOID:
-            if block:
+            if block and not around.muted:
                 self.begin_line()
             self.line.tags += 1
             if tag == "br":
@@ -148,15 +153,16 @@ class Lines(HTMLParser):
             hidden = any(k == "hidden" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
             outside = outside or hidden
             name = name or named(said)
-            holds = holds or block and tag not in HEADINGS and not named(said) and bool(ARTICLE.search(said))
+            holds = holds or block and tag not in HEADINGS and not named(said) and bool(ARTICLE.search(said)) and not SEVERAL.search(said)
         if tag == "header" and not region:
             outside = True  # that of the page; an article's own header holds its title
         if holds and not outside and not region:
             region = self.regions
             self.regions += 1
         self.places[tag].append(len(self.open))
-        self.open.append(Open(tag, outside, name, region, around.linked or tag == "a"))
-        if block or (outside, name) != (around.outside, around.named):
+        muted = around.muted or not block and outside and not around.outside and any(p.strip() for p in self.line.parts)
+        self.open.append(Open(tag, outside, name, region, around.linked or tag == "a", muted))
+        if block and not muted:
             self.begin_line()
         self.line.tags += 1
 
@@ -171,17 +177,26 @@ class Lines(HTMLParser):
             if tag == "p":
                 self.begin_line()
             return
-        was = self.around()
+        muted = self.open[at].muted
         self.close_from(at)
         now = self.around()
-        if tag in BLOCK or (was.outside, was.named) != (now.outside, now.named):
+        # an element within a line leaves it as it is, unless the line began in it
+        if tag in BLOCK and not muted or self.line.outside and not now.outside or self.line.named and not now.named:
             self.begin_line()
 
     def handle_data(self, data: str) -> None:
+        around = self.around()
+        if around.outside and not self.line.outside or around.named and not self.line.named:
+            return  # within a line that goes on after it
         self.line.parts.append(data)
-        if self.open and self.open[-1].linked:
+        if around.linked:
             self.line.linked += len("".join(data.split()))
 
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """Comments without an end go on to the end of the page."""
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 else end
+
 
 def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     reach = int(3 * sigma + 0.5)

@@ -10,6 +10,7 @@ No shuffle: texts are mapped where they are read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from typing import NamedTuple
 
 import regex
@@ -79,30 +80,41 @@ class Scanner:
         """All notices in normalised text, exact places of overlapping ones included, in order of their labels."""
         found = []
         for phrase, label, k, seeds, pattern in self.rules:
-            windows: list[list[int]] = []
+            windows: dict[int, int] = {}
             for offset, seed in seeds:
                 at = words.find(seed)
                 while at >= 0:
-                    windows.append([max(0, at - offset - k), min(len(words), at - offset + len(phrase) + k)])
+                    # whole words, so that what stands around a notice doesn't count as an edit
+                    start = words.rfind(b" ", 0, max(0, at - offset - k)) + 1
+                    end = words.find(b" ", min(len(words), at - offset + len(phrase) + k))
+                    windows[start] = max(windows.get(start, 0), len(words) if end < 0 else end)
                     at = words.find(seed, at + 1)
-            if not windows:
-                continue
             places: dict[int, tuple[int, int]] = {}
-            for start, end in joined(windows):
-                # a window begins and ends at whole words, so that what stands around it doesn't count as an edit
-                start = words.rfind(b" ", 0, start) + 1
-                end = len(words) if (stop := words.find(b" ", end)) < 0 else stop
+            for start, end in windows.items():  # none is longer than its notice, two words and some edits
                 for m in matches(pattern, words, start, end):
                     size, edits = m.end() - m.start(), sum(m.fuzzy_counts)
                     if m[0].count(b" ") == phrase.count(b" ") or edits:
-                        places[m.start()] = (size, edits)
-            for at, (size, edits) in sorted(places.items(), key=lambda p: (p[1][1], p[0])):
-                if edits and any(at < b + s and b < at + size for b, (s, e) in places.items() if (e, b) < (edits, at)):
-                    continue  # the same notice with fewer edits
-                found.append(Span(label, words.count(b" ", 0, at), words.count(b" ", at, at + size) + 1, edits))
+                        places[m.start()] = min(places.get(m.start(), (size, edits)), (size, edits), key=lambda p: (p[1], p[0]))
+            found += best(label, places, words)
         return found
 
 
+def best(label: str, places: dict[int, tuple[int, int]], words: bytes) -> list[Span]:
+    """Spans at places (size, edits): all exact ones, and of overlapping others those with the fewest edits."""
+    starts, longest = sorted(places), max((size for size, _ in places.values()), default=0)
+    out, counted, spaces = [], 0, 0
+    for at in starts:
+        size, edits = places[at]
+        spaces += words.count(b" ", counted, at)
+        counted = at
+        if edits:
+            near = starts[bisect_left(starts, at - longest) : bisect_left(starts, at + size)]
+            if any(at < b + places[b][0] and (places[b][1], b) < (edits, at) for b in near):
+                continue  # the same notice with fewer edits
+        out.append((edits, at, Span(label, spaces, words.count(b" ", at, at + size) + 1, edits)))
+    return [span for _, _, span in sorted(out)]
+
+
 def matches(pattern, words: bytes, start: int, end: int):
     """The best match between two places, and those of what stands before it and of what begins after its first word."""
     parts = [(start, end)]
@@ -116,17 +128,6 @@ def matches(pattern, words: bytes, start: int, end: int):
                 parts.append((after, end))
 
 
-def joined(windows: list[list[int]]) -> list[list[int]]:
-    windows.sort()
-    out = [windows[0]]
-    for start, end in windows[1:]:
-        if start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end])
-    return out
-
-
 def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", notices: dict[str, str] = NOTICES) -> DataFrame:
     """A row for each document: id, n_words and the notices found, with label, first word, words and edits.
 

@@ -264,3 +264,37 @@ def test_licenses_on_odd_tables(spark):
     rows = [(None, "cc by nc", "clash", 1), (1, "cc by nc", "clash", 1), (1, "cc by nc", "clash", 1), (2, None, None, None), (3, "word " * 300_000 + "cc by nc", "clash", 1)]
     found = license_scan.scan(spark.createDataFrame(rows, empty.schema)).collect()
     assert sorted((r.n_words, len(r.spans)) for r in found) == [(0, 0), (3, 1), (3, 1), (3, 1), (300_003, 1)]
+
+
+def test_elements_within_a_line_and_open_comments():
+    text = html_extract.main_text
+    page = lambda body: f"<html><body><article><h1>Title of it</h1>{body}<p>The last words stand here, and some more of them.</p></article></body></html>"
+    lines = lambda body: text(page(body)).split("\n")[1:-1]
+    assert lines("<p>hidden <span hidden>no</span> yes</p>") == ["hidden yes"]
+    assert lines("<p>one <span class=ad>buy</span>two <button>press</button> three</p>") == ["one two three"]
+    assert lines("<p>a<script>var x;</script>b <svg><title>t</title></svg>c</p>") == ["ab c"]
+    assert lines("<p>before</p><span class='sidebar'><div>no</div></span><p>after</p>") == ["before", "after"]
+    assert lines("<p>x</p><select><option>1<option>2</select> and on <p>y</p>") == ["x", "and on", "y"]
+    assert text("<article><p>a<!-- unclosed <p>b</p>") == "a"
+    assert text("<article><p>a<!-- closed --> b</p></article>") == "a b"
+
+
+def test_lists_of_other_articles_and_feet_stay_out():
+    text = html_extract.main_text
+    body = "<p>" + "A sentence of the article, and one more of it. " * 8 + "</p>"
+    for other in ("<div class='article-list'><a href=x>other</a></div>", "<div id='foot'>Copyright 2020</div>", "<div class='post-teasers'><p>Read this next one</p></div>", "<p class=copyright>Copyright 2020</p>"):
+        assert "\n" not in text(f"<html><body><main>{body}</main>{other}</body></html>")
+        assert text(f"<html><body><main>{body}</main>{other}</body></html>").startswith("A sentence")
+
+
+def test_many_inexact_notices_take_linear_time():
+    import time
+
+    spans = license_scan.Scanner().ready().spans
+    took = {}
+    for n in (400, 1600):
+        words = license_scan.normalise("under the mit licence and " * n)
+        began = time.process_time()
+        assert len(spans(words)) == n
+        took[n] = time.process_time() - began
+    assert took[1600] < 9 * took[400]  # sixteen times, were it quadratic
