@@ -47,7 +47,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import keep, lean, table
 from .components import components
 
 #: Counters of a table that orders n-grams, as a power of two, and of one row of it.
@@ -106,7 +106,7 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(parts.keys(), pa.int32()), pa.array(parts.values(), pa.binary())], ["part", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+        counts = np.zeros((2, 1 << BUCKET_BITS), np.int32)  # of one task
         for batch in batches:
             for text in batch.column(0):
                 words = word_hashes(text.as_py())
@@ -118,10 +118,10 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(blob), np.int64)
+                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(blob), np.int32).astype(np.int64)
         yield rows({i: np.round(4 * np.log2(np.maximum(c, 1))).astype(np.uint8).tobytes() for i, c in sums.items()})
 
-    sums = docs.select(F.col("text").cast("binary")).mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(add, "part int, counts binary")
+    sums = docs.select(F.col("text").cast("binary")).mapInArrow(lean(count), "part int, counts binary").repartition("part").mapInArrow(lean(add), "part int, counts binary")
     levels = np.zeros((2 * PARTS, 1 << ROW_BITS), np.uint8)
     for row in sums.collect():  # 128 rows of 64 KB
         levels[row["part"]] = np.frombuffer(row["counts"], np.uint8)
@@ -191,7 +191,7 @@ def sets(docs: DataFrame, n: int, threshold: float, levels, by_parts: bool) -> D
                 ["doc_id", "size", "print", "keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, size long, print binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(lean(run), "doc_id long, size long, print binary, keys array<long>")
 
 
 def heads(texts: DataFrame, n: int, threshold: float, levels) -> DataFrame:
@@ -205,7 +205,7 @@ def heads(texts: DataFrame, n: int, threshold: float, levels) -> DataFrame:
                 [batch.column(0), pa.array(first, pa.list_(pa.int64()))], ["rep", "tail"],
             )
 
-    return texts.mapInArrow(run, "rep long, tail array<long>")
+    return texts.mapInArrow(lean(run), "rep long, tail array<long>")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def packed(docs: DataFrame) -> DataFrame:
             z = [squeeze(t.as_py() or b"") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["doc_id", "z"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, z binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(lean(run), "doc_id long, z binary")
 
 
 class Stored(NamedTuple):
@@ -339,11 +339,11 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float, level
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for a, part, side, b, z in zip(*(c.to_pylist() for c in batch.columns)):
+            for a, part, side, b, z in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4)):
                 if (a, part) != group:
                     yield links()
                     group, lefts, others = (a, part), [], []
-                keys = ordered(unpack(z), n, order)
+                keys = ordered(unpack(z.as_py()), n, order)
                 if side:
                     others.append((b, keys))
                 else:
@@ -351,7 +351,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float, level
         yield links()
 
     both = left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", "side")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def reach(a_size, a_pos, b_size, b_pos, threshold: float):
@@ -414,7 +414,7 @@ def across(members: DataFrame, tails: Callable[[DataFrame], DataFrame], found: D
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in sorted(out)], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     both = stored.unionByName(searching).repartition("key", "tree", "search").sortWithinPartitions("key", "tree", "search", "side")
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, by_parts: bool = False) -> DataFrame:
