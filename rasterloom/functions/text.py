@@ -20,6 +20,19 @@ def trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def ltrim(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+", "")
+
+
+def rtrim(text: Column) -> Column:
+    return F.regexp_replace(text, f"{SPACE}+$", "")
+
+
+def join(parts: Column, mark: str) -> Column:
+    """Parts with the mark between them; null parts count as empty ones."""
+    return F.array_join(parts, mark, "")
+
+
 def split(text: Column, mark: str) -> Column:
     """Parts between marks; an empty last part is dropped."""
     parts = F.split(text, re.escape(mark), -1)
