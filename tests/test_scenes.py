@@ -122,3 +122,81 @@ def test_images_of_different_sizes(spark):
     found = {r.image_id: (r.width, r.height, r.r) for r in scenes.recoloured(df, lambda v: scenes.dithered(v, "mono")).collect()}
     assert found == {1: (2, 1, [0, 255]), 2: (3, 2, [0] * 6), 3: (2, 1, [255, 0])}
     assert scenes.recoloured(df.limit(0), lambda v: v).count() == 0
+
+
+def at(v, y, x):
+    """The sample, or the edge's beyond an edge."""
+    return v[min(max(y, 0), v.shape[0] - 1), min(max(x, 0), v.shape[1] - 1)]
+
+
+def slopes(v):
+    """Sobel gradients by loops, 0 at the border."""
+    h, w = v.shape
+    across, down = np.zeros((h, w)), np.zeros((h, w))
+    for y in range(1, h - 1):
+        for x in range(1, w - 1):
+            across[y, x] = sum((2 - abs(k)) * (v[y + k, x + 1] - v[y + k, x - 1]) for k in (-1, 0, 1))
+            down[y, x] = sum((2 - abs(k)) * (v[y + 1, x + k] - v[y - 1, x + k]) for k in (-1, 0, 1))
+    return across, down
+
+
+def test_corners_against_loops(stack):
+    for image, found in zip(stack, scenes.corners(stack, 0.04, 1000.0)):
+        h, w, _ = image.shape
+        across, down = slopes((image @ np.array([0.299, 0.587, 0.114])).astype(float))
+        response = np.zeros((h, w))
+        for y in range(1, h - 1):
+            for x in range(1, w - 1):
+                a, b, c = (sum(at(v, y + j, x + i) for j in (-1, 0, 1) for i in (-1, 0, 1)) / 9 for v in (across**2, down**2, across * down))
+                response[y, x] = a * b - c * c - 0.04 * (a + b) ** 2
+        scale = np.abs(response).max() * 1e-4 + 1
+        for y in range(h):
+            for x in range(w):
+                inner = 2 <= y < h - 2 and 2 <= x < w - 2
+                most = max(at(response, y + j, x + i) for j in (-1, 0, 1) for i in (-1, 0, 1) if i or j)
+                if not inner or response[y, x] < min(1000.0, most) - scale:
+                    assert not found[y, x]
+                elif response[y, x] > max(1000.0, most) + scale:
+                    assert found[y, x]
+
+
+def test_edges_against_loops(stack):
+    from rasterloom.operators.neighbourhood import KERNELS
+
+    weights, total = KERNELS["gauss5"][:2]
+    low, high = 60.0, 160.0
+    for image, got in zip(stack, scenes.edges(stack, low, high)):
+        h, w, _ = image.shape
+        gray = np.trunc(image @ scenes.LUMA).astype(float)
+        soft = np.array([[sum(at(gray, y + k // 5 - 2, x + k % 5 - 2) * v for k, v in enumerate(weights)) / total for x in range(w)] for y in range(h)])
+        across, down = slopes(soft)
+        size = np.hypot(across, down)
+        sure, never = np.zeros((h, w), bool), np.ones((h, w), bool)  # ridges that single precision can't sway
+        for y in range(1, h - 1):
+            for x in range(1, w - 1):
+                angle = np.degrees(np.arctan2(-down[y, x], across[y, x])) % 180
+                sector = int((angle + 22.5) // 45) % 4
+                dx, dy = [(1, 0), (1, 1), (0, 1), (-1, 1)][sector]
+                beside = max(at(size, y + dy, x + dx), at(size, y - dy, x - dx))
+                edge = abs((angle + 22.5) % 45)
+                if min(edge, 45 - edge) > 0.01:
+                    sure[y, x], never[y, x] = size[y, x] > beside + 1e-2, size[y, x] < beside - 1e-2
+                else:
+                    never[y, x] = False
+        assert not got[never | (size < low - 1e-2)].any()
+        assert (got[sure & (size > high + 1e-2)] == 255).all()
+        reached = got == 255
+        strong = reached & (size >= high - 1e-2)
+        todo = list(zip(*np.nonzero(strong)))
+        seen = set(todo)
+        while todo:  # all that is shown is joined with something strong
+            y, x = todo.pop()
+            for j in (-1, 0, 1):
+                for i in (-1, 0, 1):
+                    n = (y + j, x + i)
+                    if 0 <= n[0] < h and 0 <= n[1] < w and reached[n] and n not in seen:
+                        seen.add(n)
+                        todo.append(n)
+        assert len(seen) == reached.sum()
+        for y, x in zip(*np.nonzero(sure & (size > low + 1e-2) & ~reached)):  # and what isn't shown stands beside nothing that is
+            assert not any(reached[min(max(y + j, 0), h - 1), min(max(x + i, 0), w - 1)] for j in (-1, 0, 1) for i in (-1, 0, 1))
