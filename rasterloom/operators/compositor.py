@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import cos, radians, sin
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import blend
@@ -75,7 +75,7 @@ def laid_over(canvas: Column, layer: Column) -> Column:
     return F.when(layer["kind"] == "adjustment", F.zip_with(canvas, layer["strip"], change)).otherwise(F.zip_with(canvas, layer["strip"], cover))
 
 
-def strips(layers: DataFrame, width: int, y: Column) -> Column:
+def strips(width: int | Column, y: Column) -> Column:
     """A layer's samples in canvas row y: width structs, null where it has none, alpha times the mask.
 
     An adjustment without a size covers the canvas; one without a mask has full shares.
@@ -88,7 +88,8 @@ def strips(layers: DataFrame, width: int, y: Column) -> Column:
     blank = {k: F.lit(255) for k in "rgb"}
     whole = F.col("width").isNull()
     effect = lambda x: F.when(whole | inside(x), pixel(blank | {"a": F.when(whole, 255).otherwise(share(x))}))
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.when(F.col("kind") == "adjustment", effect(x)).otherwise(own(x)))
+    last = width - 1 if isinstance(width, Column) else F.lit(width - 1)
+    return F.transform(F.sequence(F.lit(0), last), lambda x: F.when(F.col("kind") == "adjustment", effect(x)).otherwise(own(x)))
 
 
 def depths(layers: DataFrame) -> DataFrame:
@@ -135,6 +136,52 @@ def composite(layers: DataFrame, width: int, height: int, region: tuple[int, int
     return full.withColumn("strip", F.slice("strip", region[0] + 1, region[2])) if region else full
 
 
+BLANK = {k: 0 for k in "rgba"}
+
+
+def flattened(layers: DataFrame) -> DataFrame:
+    """doc, parent, left, y, strip: the direct children of each group in one image that just holds them.
+
+    Visible pixel layers with samples count, from the lowest up, with their masks; groups within a group and adjustments
+    don't.  A group of which nothing counts is one empty sample at its own place (0, 0 if it has none).
+    """
+    content = layers.filter("kind = 'pixel' AND visible AND px IS NOT NULL AND width > 0 AND height > 0 AND parent IS NOT NULL")
+    box = content.groupBy("doc", "parent").agg(F.min("left").alias("x0"), F.min("top").alias("y0"), F.max(F.col("left") + F.col("width")).alias("x1"), F.max(F.col("top") + F.col("height")).alias("y1"))
+    groups = layers.filter("kind = 'group'").select("doc", F.col("id").alias("parent"), F.coalesce("left", F.lit(0)).alias("own_x"), F.coalesce("top", F.lit(0)).alias("own_y"))
+    size = groups.join(box, ["doc", "parent"], "left").select(
+        "doc", "parent", F.coalesce("x0", "own_x").alias("x0"), F.coalesce("y0", "own_y").alias("y0"), F.coalesce(F.col("x1") - F.col("x0"), F.lit(1)).alias("w"), F.coalesce(F.col("y1") - F.col("y0"), F.lit(1)).alias("h"))
+    rows = size.select("*", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
+    own = content.join(size, ["doc", "parent"]).withColumns({"left": F.col("left") - F.col("x0"), "top": F.col("top") - F.col("y0")})
+    spread = own.select("*", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
+    cut = spread.select("doc", "parent", "y", "z", "id", "kind", "mode", "opacity", *ADJUSTMENTS, strips(F.col("w"), F.col("y")).alias("strip"))
+    one = F.struct("z", "id", "kind", "mode", F.col("opacity").cast("double").alias("opacity"), *ADJUSTMENTS, "strip")
+    meet = rows.join(cut.groupBy("doc", "parent", "y").agg(F.sort_array(F.collect_list(one)).alias("l")), ["doc", "parent", "y"], "left")
+    empty = F.array_repeat(F.struct(*[F.lit(v).alias(k) for k, v in BLANK.items()]), F.col("w"))
+    return meet.select("doc", "parent", F.col("x0").alias("left"), (F.col("y0") + F.col("y")).alias("y"), F.when(F.col("l").isNull(), empty).otherwise(F.aggregate("l", empty, laid_over)).alias("strip"))
+
+
+def merged_down(layers: DataFrame, at: int) -> DataFrame:
+    """doc, parent, left, y, strip: of each group the child at place `at` on the one below it, in one image that holds both.
+
+    The one below brings its samples alone; whether either shows doesn't matter.  Groups without such a pair, or whose upper
+    layer has no samples (it would just go), give no rows.
+    """
+    if at < 1:
+        raise ValueError("the lowest layer has none below it")
+    order = Window.partitionBy("doc", "parent").orderBy("z", "id")
+    placed = layers.filter("parent IS NOT NULL").withColumn("place", F.row_number().over(order) - 1).filter(F.col("place").isin(at - 1, at))
+    below = F.col("place") == at - 1
+    pair = placed.withColumns({
+        "mode": F.when(below, "normal").otherwise(F.col("mode")), "opacity": F.when(below, 1.0).otherwise(F.col("opacity")), "mask": F.when(~below, F.col("mask")), "visible": F.lit(True), "z": F.col("place")})
+    upper = pair.filter((F.col("place") == at) & (F.col("kind") == "pixel") & F.col("px").isNotNull()).select("doc", "parent")
+    groups = layers.filter("kind = 'group'").join(upper.withColumnRenamed("parent", "id"), ["doc", "id"], "left_semi")
+    return flattened(pair.drop("place").join(upper, ["doc", "parent"], "left_semi").select(layers.columns).filter("kind = 'pixel'").unionByName(groups.select(layers.columns)))
+
+
+def flat_pixels(flat: DataFrame) -> DataFrame:
+    return flat.select("doc", "parent", "left", "y", F.posexplode("strip").alias("i", "p")).select("doc", "parent", (F.col("left") + F.col("i")).alias("x"), "y", "p.*")
+
+
 def canvas_pixels(canvas: DataFrame, left: int = 0) -> DataFrame:
     return canvas.select("doc", F.posexplode("strip").alias("x", "p"), "y").select("doc", (F.col("x") + left).alias("x"), "y", "p.*")
 
@@ -205,7 +252,29 @@ g5 AS {step(7, step(6, 't'))}, g2 AS {step(5, step(4, step(3, 't'), mask='q.b'),
 c AS {step(9, _adjust(step(2, step(1, 't'), 'g2')))} SELECT doc, x, y, r, g, b, a FROM c {where}"""
 
 
+def _flat_sql(steps: dict[int, tuple]) -> str:
+    """steps: of each group its leaves, as (id, mode, opacity, mask)."""
+    at = {leaf[0]: (i, *leaf[5:]) for i, leaf in enumerate(LEAVES)}
+    layer = lambda n: f"(SELECT image_id // 6 AS doc, x + {at[n][1]} AS x, y + {at[n][2]} AS y, r, g, b, a FROM px WHERE image_id % 6 = {at[n][0]})"
+    out, parts = [], []
+    for group, leaves in steps.items():
+        shown = " UNION ALL ".join(f"SELECT doc, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM {layer(n)} GROUP BY doc" for n, *_ in leaves)
+        parts.append(f"bo{group} AS (SELECT d.doc, coalesce(min(x0), 0) AS x0, coalesce(max(x1), 0) AS x1, coalesce(min(y0), 0) AS y0, coalesce(max(y1), 0) AS y1 FROM (SELECT DISTINCT vec_id // 6 AS doc FROM embeddings) d LEFT JOIN ({shown}) s ON s.doc = d.doc GROUP BY d.doc)")
+        parts.append(f"t{group} AS (SELECT doc, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, 0 AS r, 0 AS g, 0 AS b, 0 AS a FROM bo{group}, unnest(range(-9, 20)) AS u(x), unnest(range(-9, 20)) AS w(y) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)")
+        canvas = f"t{group}"
+        for n, mode, opacity, mask in leaves:
+            canvas = _over(mode, opacity, canvas, layer(n), mask)
+        out.append(f"SELECT doc, {group} AS parent, x, y, r, g, b, a FROM {canvas}")
+    return f"{PX}, {', '.join(parts)} " + " UNION ALL ".join(out)
+
+
+_HOW = {leaf[0]: leaf[3:5] for leaf in LEAVES}
+
 OPS = {
+    "layers_flattened": (lambda s, d: flat_pixels(flattened(trees(s, d))), _flat_sql({2: ((3, *_HOW[3], ""), (4, *_HOW[4], "q.b")), 5: ((6, *_HOW[6], ""), (7, *_HOW[7], ""))})),
+    "layer_pixels_merged": (
+        lambda s, d: flat_pixels(merged_down(trees(s, d), 1)),
+        "SELECT * FROM (" + _flat_sql({2: ((3, "normal", 1.0, ""), (4, *_HOW[4], "q.b")), 5: ((6, "normal", 1.0, ""), (7, *_HOW[7], ""))}) + ") WHERE (parent = 2 AND doc * 6 + 2 IN (SELECT vec_id FROM embeddings)) OR (parent = 5 AND doc * 6 + 4 IN (SELECT vec_id FROM embeddings))"),
     "composite_tree": (lambda s, d: canvas_pixels(composite(trees(s, d), WIDTH, HEIGHT)), _trees_sql()),
     "composite_region": (lambda s, d: canvas_pixels(composite(trees(s, d), WIDTH, HEIGHT, (3, 2, 5, 4)), 3), _trees_sql("WHERE x BETWEEN 3 AND 7 AND y BETWEEN 2 AND 5")),
 }

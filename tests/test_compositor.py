@@ -107,3 +107,40 @@ def test_trees_against_a_recursive_model(spark):
             assert max(near) == 0, (doc, y)
             if 1 <= y < 4:
                 assert part[doc, y] == got[doc, y][2:6]
+
+
+def test_flattened_and_merged(spark):
+    rng = random.Random(9)
+    rows = []
+    for doc in range(5):
+        rows.append(layer(rng, doc, 1, None, "group", visible=True))
+        for id_ in range(2, 7):
+            rows.append(layer(rng, doc, id_, 1, rng.choice(["pixel", "pixel", "pixel", "adjustment", "group"]), z=id_))
+    rows += [layer(rng, 9, 1, None, "group", left=4, top=-2, visible=True), layer(rng, 9, 2, 1, "pixel", visible=False)]
+    frame = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA)
+    got = {}
+    for r in c.flattened(frame).filter("parent = 1").collect():
+        got.setdefault(r.doc, {})[r.y] = (r.left, [tuple(p) for p in r.strip])
+    for doc in (*range(5), 9):
+        shown = sorted((r for r in rows if r["doc"] == doc and r["parent"] == 1 and r["kind"] == "pixel" and r["visible"]), key=lambda r: r["z"])
+        if not shown:
+            assert got[doc] == ({-2: (4, [(0, 0, 0, 0)])} if doc == 9 else {0: (0, [(0, 0, 0, 0)])})
+            continue
+        x0, y0 = min(r["left"] for r in shown), min(r["top"] for r in shown)
+        w, h = max(r["left"] + r["width"] for r in shown) - x0, max(r["top"] + r["height"] for r in shown) - y0
+        moved = [r | {"left": r["left"] - x0, "top": r["top"] - y0} for r in shown]
+        want = model(moved, 1, w, h)
+        assert got[doc] == {y0 + y: (x0, want[y]) for y in range(h)}
+    merged = c.merged_down(frame, 2).collect()
+    for doc in range(5):
+        pair = sorted((r for r in rows if r["doc"] == doc and r["parent"] == 1), key=lambda r: r["z"])[1:3]
+        mine = {r.y: (r.left, [tuple(p) for p in r.strip]) for r in merged if r.doc == doc}
+        if pair[1]["kind"] != "pixel":
+            assert not mine
+            continue
+        pair = [pair[0] | {"mode": "normal", "opacity": 1.0, "mask": None}, pair[1]]
+        pair = [r | {"visible": True} for r in pair if r["kind"] == "pixel"]
+        x0, y0 = min(r["left"] for r in pair), min(r["top"] for r in pair)
+        w, h = max(r["left"] + r["width"] for r in pair) - x0, max(r["top"] + r["height"] for r in pair) - y0
+        want = model([r | {"left": r["left"] - x0, "top": r["top"] - y0} for r in pair], 1, w, h)
+        assert mine == {y0 + y: (x0, want[y]) for y in range(h)}
