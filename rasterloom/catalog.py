@@ -8,7 +8,7 @@ FLAGSHIP = "equalize"
 
 MODULES = (
     "operators.pointwise", "operators.neighbourhood", "operators.aggregates", "operators.compositing", "operators.scalars",
-    "operators.arrangement", "operators.timeline", "operators.sequential", "operators.colors", "operators.drawing", "operators.palettes", "operators.layers", "operators.scenes", "sources.codecs", "sources.rasters", "sources.gif", "operators.effects", "operators.compositor", "operators.graphs", "operators.glyphs", "sources.metadata", "operators.smooth", "streaming.controls", "operators.conversions", "operators.palette_files",
+    "operators.arrangement", "operators.timeline", "operators.sequential", "operators.colors", "operators.drawing", "operators.palettes", "operators.layers", "operators.scenes", "sources.codecs", "sources.rasters", "sources.gif", "operators.effects", "operators.compositor", "operators.graphs", "operators.glyphs", "sources.metadata", "operators.smooth", "streaming.controls", "operators.conversions", "operators.palette_files", "operators.regions",
 )
 
 
