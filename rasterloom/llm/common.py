@@ -65,6 +65,20 @@ def drop_kept() -> None:
             pass
 
 
+def kept_now() -> set[str]:
+    """Where keep() has written what isn't deleted yet."""
+    return set(_scratch)
+
+
+def release(paths: set[str], docs: DataFrame | None = None) -> None:
+    """Delete these of the paths of keep() that docs doesn't read."""
+    read = [] if docs is None else docs.inputFiles()
+    for path in paths & kept_now():
+        name = path.rsplit("/", 1)[1]
+        if not any(f"/{name}/" in file for file in read):
+            delete(path)
+
+
 def delete(path: str) -> None:
     spark = _scratch.pop(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

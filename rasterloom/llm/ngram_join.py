@@ -47,7 +47,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, lean, table
+from .common import forget, keep, lean, table
 from .components import components
 
 #: Counters of a table that orders n-grams, as a power of two, and of one row of it.
@@ -427,10 +427,12 @@ def groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, by_parts: bool =
     spark = docs.sparkSession
     named = docs.filter("doc_id IS NOT NULL")
     levels = spark.sparkContext.broadcast(frequency_levels(named, n))
-    every = keep(sets(docs, n, threshold, levels, by_parts))
+    whole = keep(sets(docs, n, threshold, levels, by_parts))
     # a class is represented by its smallest document, and brings that one's keys along: keys are shuffled once
     first = F.min(F.struct("doc_id", "size", "keys")).alias("m")
-    classes = keep(every.filter("size > 0 AND doc_id IS NOT NULL").groupBy("print").agg(first).select("print", F.col("m.doc_id").alias("rep"), "m.size", "m.keys"))
+    classes = keep(whole.filter("size > 0 AND doc_id IS NOT NULL").groupBy("print").agg(first).select("print", F.col("m.doc_id").alias("rep"), "m.size", "m.keys"))
+    every = keep(whole.drop("keys"))
+    forget(whole)
     # the class in which the n-gram comes first is the hub of all that have it; the smallest class, of those with a part.
     # what is joined here grows with the input, so it is never broadcast
     if by_parts:
