@@ -127,14 +127,14 @@ def trade_graph(s, d) -> tuple[DataFrame, DataFrame]:
         .union(sup.select(long("s_nationkey", 100), long("s_suppkey", 10**6)))
         .union(sup.select(long((F.col("s_nationkey") + 1) % 25, 100), long("s_suppkey", 10**6)))
         .union(cus.select(long("c_nationkey", 100), long("c_custkey", 10**9)))
-        .union(cus.select(long(F.col("c_custkey") % 10 + 1, 10**6), long("c_custkey", 10**9)))
+        .union(cus.select(long(F.col("c_custkey") % 10, 10**6), long("c_custkey", 10**9)))
     )
     ids = reg.union(nat.select(long("n_nationkey", 100))).union(sup.select(long("s_suppkey", 10**6))).union(cus.select(long("c_custkey", 10**9)))
     return ids.select("id", (F.col("id") * 7919 % 10007).alias("seq")), edges
 
 
 _GRAPH = """WITH e AS (SELECT n_regionkey + 10 AS a, n_nationkey + 100 AS b FROM nation UNION SELECT s_nationkey + 100, s_suppkey + 1000000 FROM supplier UNION SELECT (s_nationkey + 1) % 25 + 100, s_suppkey + 1000000 FROM supplier
-UNION SELECT c_nationkey + 100, c_custkey + 1000000000 FROM customer UNION SELECT c_custkey % 10 + 1 + 1000000, c_custkey + 1000000000 FROM customer),
+UNION SELECT c_nationkey + 100, c_custkey + 1000000000 FROM customer UNION SELECT c_custkey % 10 + 1000000, c_custkey + 1000000000 FROM customer),
 l0 AS (SELECT r_regionkey + 10 AS id, row_number() OVER (ORDER BY r_regionkey) - 1 AS place FROM region)"""
 
 
