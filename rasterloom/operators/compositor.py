@@ -119,7 +119,7 @@ def composite(layers: DataFrame, width: int, height: int, region: tuple[int, int
     deepest = shown.agg(F.max("depth")).first()[0] or 0
     how = ["doc", "parent", "depth", "id", "z", "kind", "mode", "opacity", *ADJUSTMENTS]
     leaves = shown.filter("kind <> 'group'").select("*", rows)
-    leaves = leaves.select(*how, "y", strips(leaves, width, F.col("y")).alias("strip"))
+    leaves = leaves.select(*how, "y", strips(width, F.col("y")).alias("strip"))
     empty = F.array_repeat(F.struct(*[F.lit(0).alias(k) for k in "rgba"]), width)
     one = F.struct("z", "id", "kind", "mode", F.col("opacity").cast("double").alias("opacity"), *ADJUSTMENTS, "strip")
     folded = F.aggregate("l", empty, laid_over).alias("strip")

@@ -144,3 +144,11 @@ def test_flattened_and_merged(spark):
         w, h = max(r["left"] + r["width"] for r in pair) - x0, max(r["top"] + r["height"] for r in pair) - y0
         want = model([r | {"left": r["left"] - x0, "top": r["top"] - y0} for r in pair], 1, w, h)
         assert mine == {y0 + y: (x0, want[y]) for y in range(h)}
+
+
+def test_one_layer_in_a_region(spark):
+    rng = random.Random(1)
+    row = layer(rng, 0, 1, None, "pixel", mode="normal", opacity=1.0, visible=True, left=1, top=1, width=2, height=2, px=[(k, k, k, 255) for k in range(4)], mask=None)
+    frame = spark.createDataFrame([tuple(row.values())], SCHEMA)
+    got = {r.y: [p.r if p.a else None for p in r.strip] for r in c.composite(frame, 4, 4, (2, 0, 2, 3)).collect()}
+    assert got == {0: [None, None], 1: [1, None], 2: [3, None]}
