@@ -1,18 +1,21 @@
-"""Histograms, statistics, thresholds and votes: group-bys and windows over the pixel relation.
+"""Histograms, statistics and thresholds: group-bys and windows over the pixel relation; votes, image by image.
 
 Groups are (image, channel, bin) and the like, combined before the shuffle; windows run over at most 256 bins of
-one image, never over its pixels.
+one image, never over its pixels.  Votes at 180 angles are far more than pixels, so they are counted within an image.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import cos, pi, sin
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..oracle import LUMA, PX, byte as sql_byte, f, pick
-from ..sources.tables import byte, f32, gray, luma, pixels
+from ..sources.tables import byte, f32, gray, images, luma, pixels, stacks
 
 
 def long(df: DataFrame) -> DataFrame:
@@ -99,14 +102,43 @@ def blocks(df: DataFrame, n: int) -> DataFrame:
     return df.select("image_id", "x", "y", *key[1:]).join(means, ["image_id", "bx", "by"]).drop("bx", "by")
 
 
+def peaks(shown: np.ndarray, least: int, angles: int) -> tuple[np.ndarray, ...]:
+    """image, theta, rho, votes and place of the lines of a stack (image, y, x), by image and place."""
+    n, h, w = shown.shape
+    image, y, x = np.nonzero(shown)
+    low, width = -w, 2 * w + h + 2  # rho is between 1 - w and w + h - 2; an empty column on either side
+    votes = np.zeros((n, angles, width), np.int32)
+    for t in range(angles):
+        at = x * round(cos(t * pi / angles), 9) + y * round(sin(t * pi / angles), 9)
+        whole = np.trunc(at)
+        rho = (whole + np.sign(at) * (np.abs(at - whole) >= 0.5)).astype(np.int64)
+        votes[:, t] = np.bincount(image * width + rho - low, minlength=n * width).reshape(n, width)
+    most = np.maximum(np.maximum(np.roll(votes, 1, 1), np.roll(votes, -1, 1)), votes)
+    most[:, :, 1:-1] = np.maximum(np.maximum(most[:, :, :-2], most[:, :, 2:]), most[:, :, 1:-1])
+    image, theta, rho = np.nonzero((votes >= max(least, 1)) & (votes == most))
+    found = votes[image, theta, rho]
+    order = np.lexsort((rho, theta, -found, image))
+    image, theta, rho, found = image[order], theta[order], rho[order] + low, found[order]
+    return image, theta, rho, found, np.arange(len(image)) - np.searchsorted(image, image) + 1
+
+
 def hough(df: DataFrame, least: int, angles: int = 180) -> DataFrame:
-    """Lines by votes: pixels over 127 vote at each angle for a distance; peaks of the 3 x 3 neighbourhood stay."""
-    turns = F.array(*[F.struct(F.lit(t).alias("theta"), F.lit(round(cos(t * pi / angles), 9)).alias("c"), F.lit(round(sin(t * pi / angles), 9)).alias("s")) for t in range(angles)])
-    votes = df.filter("v > 127").select("image_id", "x", "y", F.inline(turns)).groupBy("image_id", "theta", F.round(F.col("x") * F.col("c") + F.col("y") * F.col("s")).cast("int").alias("rho")).agg(F.count("*").alias("votes"))
-    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    shown = votes.select("image_id", "votes", "theta", "rho", near.alias("d")).select("image_id", F.pmod(F.col("theta") + F.col("d.a"), F.lit(angles)).alias("theta"), (F.col("rho") + F.col("d.b")).alias("rho"), F.col("votes").alias("beside"))
-    most = shown.groupBy("image_id", "theta", "rho").agg(F.max("beside").alias("most"))
-    return votes.filter(F.col("votes") >= least).join(most, ["image_id", "theta", "rho"]).filter("votes = most").drop("most")
+    """Lines by votes: samples over 127 vote at each angle for a distance; peaks of the 3 x 3 neighbourhood stay.
+
+    df: images as rows.  place counts an image's lines from the strongest on.  Votes are counted where an image lies, so
+    nothing is shuffled; samples beyond width times height don't count, and missing ones don't vote.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for w, h, some in stacks(parts):
+            shown = np.stack([np.frombuffer(v, np.uint8) for v in some["v"]]).reshape(len(some), h, w)
+            image, *line = peaks(shown, least, angles)
+            yield pd.DataFrame({"image_id": some["image_id"].to_numpy()[image]} | dict(zip(("theta", "rho", "votes", "place"), line)))
+
+    n = (F.col("width") * F.col("height")).cast("int")
+    over = F.array_join(F.transform(F.slice("v", 1, n), lambda v: F.when(v > 127, "01").otherwise("00")), "")
+    images = df.filter("width > 0 AND height > 0 AND size(v) > 0").select("image_id", "width", "height", F.unhex(F.rpad(over, n * 2, "0")).alias("v"))
+    return images.mapInPandas(run, f"image_id {dict(df.dtypes)['image_id']}, theta int, rho int, votes long, place int")
 
 
 _LONG = PX + f""", l AS (SELECT image_id, unnest(['r', 'g', 'b', 'gray']) AS channel, unnest([r, g, b, {sql_byte(LUMA)}]) AS v FROM px),
@@ -148,5 +180,5 @@ OPS = {
     "ssim": (lambda s, d: ssim(gray(s, d), gray(s, d).withColumn("image_id", F.col("image_id") - 1)), _SSIM),
     "match_histogram": (lambda s, d: match_histogram(gray(s, d)), _MATCH),
     "pixelate": (lambda s, d: blocks(pixels(s, d), 3), _BLOCKS),
-    "hough_lines": (lambda s, d: hough(gray(s, d), 5), _HOUGH),
+    "hough_lines": (lambda s, d: hough(images(s, d), 5).drop("place"), _HOUGH),
 }

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color, text
 from ..functions.scalar import FUNCTIONS as fn
 from ..oracle import PX
-from ..sources.tables import KEY, gray, images, pixels, table
+from ..sources.tables import KEY, images, pixels, table
 from .aggregates import _HOUGH, hough
 from .neighbourhood import as_pixels
 from .palettes import _RANKED, by_frequency
@@ -93,12 +93,6 @@ def recoloured(s, d, to, change, back_) -> DataFrame:
     return moved.select(*KEY, *[whole_byte(v).alias(c) for c, v in rgb.items()])
 
 
-def ranked_lines(s, d) -> DataFrame:
-    """Lines found by votes, the strongest of each image first."""
-    order = Window.partitionBy("image_id").orderBy(F.desc("votes"), "theta", "rho")
-    return hough(gray(s, d), 5).select("image_id", "theta", "rho", "votes", F.row_number().over(order).alias("place"))
-
-
 _BACK = _RANKED + " SELECT image_id, CAST(place AS INTEGER) AS place, r, g, b FROM ra WHERE place <= 16"
 _U = ", ".join(f"{c} / CAST(255 AS DOUBLE) AS u{c}" for c in "rgb")
 _HUE = f"""{PX}, u AS (SELECT image_id, x, y, {_U} FROM px), m AS (SELECT *, greatest(ur, ug, ub) AS mx, least(ur, ug, ub) AS mn FROM u),
@@ -123,7 +117,7 @@ OPS = {
     "error_diffusion_both_ways": (lambda s, d: as_pixels(per_stack(images(s, d), both_ways)), None),
     "hsv_bytes": (lambda s, d: recoloured(s, d, color.hsv, lambda c: {"h": c["h"], "s": c["s"] * 0.5, "v": c["v"]}, color.hsv_to_rgb), _back_sql("d * 0.5", "mx - d * 0.5")),
     "hsl_bytes": (lambda s, d: recoloured(s, d, color.hsl, lambda c: {"h": c["h"], "s": c["s"], "l": c["l"] * 0.8}, color.hsl_to_rgb), _back_sql(f"(1 - abs({_NEW} * 2 - 1)) * {_SAT}", f"{_NEW} - (1 - abs({_NEW} * 2 - 1)) * {_SAT} / 2")),
-    "hough_lines_ranked": (ranked_lines, f"SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY votes DESC, theta, rho) AS INTEGER) AS place FROM ({_HOUGH})"),
+    "hough_lines_ranked": (lambda s, d: hough(images(s, d), 5), f"SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY votes DESC, theta, rho) AS INTEGER) AS place FROM ({_HOUGH})"),
     "scalar_more": (
         lambda s, d: items(
             s, d, add_=lambda a, b, c: a + b, subtract_=lambda a, b, c: a - c, multiply_=lambda a, b, c: a * b, divide_=lambda a, b, c: fn["divide"](a, b + 1), negate_=lambda a, b, c: -a, power_=lambda a, b, c: fn["pow"](b, c),

@@ -6,11 +6,16 @@ stands for a store of 8 x 8 images: its 64 numbers are scaled to bytes, and the
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIDE = 8
 KEY = ["image_id", "x", "y"]
+#: The most images, and the most samples of a channel, that are stacked; an image with more is a stack by itself.
+MOST_STACKED, MOST_SAMPLES = 256, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +34,15 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("image_id"), side.alias("width"), side.alias("height"), samples(F.col("embedding")).alias("v"))
 
 
+def stacks(parts: Iterable[pd.DataFrame]) -> Iterator[tuple[int, int, pd.DataFrame]]:
+    """Width, height and rows of images of one size, so few that what is worked out of them stays small, however long parts are."""
+    for part in parts:
+        for (w, h), some in part.groupby(["width", "height"], sort=False):
+            n = max(1, min(MOST_STACKED, MOST_SAMPLES // max(1, w * h)))
+            for at in range(0, len(some), n):
+                yield w, h, some.iloc[at : at + n]
+
+
 #: Width, height and source images of a quilt.
 QUILT = (32, 24, 12)
 

@@ -1,5 +1,9 @@
 """Models for what SQL doesn't express, and the functions' odd cases."""
 
+import random
+from collections import Counter
+from math import cos, floor, pi, sin
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import text
 from rasterloom.functions.scalar import FUNCTIONS as fn
 from rasterloom.functions.scalar import register_python
+from rasterloom.operators.aggregates import hough
 from rasterloom.operators.sequential import carved, diffused, labelled
 from rasterloom.operators.timeline import SHOW, advanced
 from rasterloom.sources.codecs import read_pgm
@@ -201,3 +206,18 @@ def test_colour_seams_are_those_of_gray():
 
     colour = scenes.without_seams(np.repeat(v[None, ..., None], 3, -1).astype(np.float32), 2)
     assert (carved(v, 2) == colour[0, ..., 0]).all()
+
+
+def test_lines_by_votes_of_images_of_all_sizes_without_a_shuffle(spark):
+    rng, rows, want = random.Random(5), [], set()
+    for k, (w, h) in enumerate([(8, 8), (5, 3), (1, 7), (8, 8), (6, 1)] * 2):
+        v = [rng.choice([0, 127, 128, 255]) for _ in range(w * h)]
+        rows.append((k, w, h, v[:-1] if k > 7 else v))  # the last sample may be missing
+        on = [(i % w, i // w) for i, s in enumerate(rows[-1][3]) if s > 127]
+        votes = Counter((t, floor(abs(d) + 0.5) * (1 if d > 0 else -1)) for t in range(180) for x, y in on for d in [x * round(cos(t * pi / 180), 9) + y * round(sin(t * pi / 180), 9)])
+        near = lambda t, r: max(votes[(t + a) % 180, r + b] for a in (-1, 0, 1) for b in (-1, 0, 1))
+        found = sorted((-n, t, r) for (t, r), n in list(votes.items()) if n >= 3 and n == near(t, r))
+        want |= {(k, t, r, -n, p + 1) for p, (n, t, r) in enumerate(found)}
+    lines = hough(spark.createDataFrame([*rows, (99, 8, 8, None)], "image_id long, width int, height int, v array<int>"), 3)
+    assert {tuple(r) for r in lines.collect()} == want
+    assert "Exchange" not in lines._jdf.queryExecution().toString()
