@@ -1,6 +1,6 @@
 """Effects over whole images: tiles equalised with clipped histograms, look-up cubes, shadows, halftone screens, mirrors.
 
-An image is a row with an array for each channel.  Images of one size are stacked inside Arrow batches, and each step is
+An image is a row with an array for each channel.  Some images of one size are stacked inside Arrow batches, and each step is
 taken once for the whole stack; nothing is shuffled, and an image must fit into a task.  Arithmetic is single precision,
 step by step, where whole results hang on it.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..oracle import LUMA, PX, byte as sql_byte, f
-from ..sources.tables import images, pixels
+from ..sources.tables import images, pixels, stacks
 
 F4 = np.float32
 SCHEMA = "image_id long, width int, height int, r array<int>, g array<int>, b array<int>, a array<int>"
@@ -33,12 +33,11 @@ def over_stacks(df: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> DataFr
     """of(stack) for stacks (image, y, x, channel) of r, g, b, a; the new images may have another size."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for (w, h), some in part.groupby(["width", "height"], sort=False):
-                stack = np.stack([np.stack(some[c].to_list()) for c in "rgba"], -1).reshape(len(some), h, w, 4)
-                out = of(stack.astype(np.int64)).astype(np.int32)
-                planes = {c: list(out[..., k].reshape(len(out), -1)) for k, c in enumerate("rgba")}
-                yield pd.DataFrame({"image_id": some["image_id"].to_list(), "width": out.shape[2], "height": out.shape[1]} | planes)
+        for w, h, some in stacks(parts):
+            stack = np.stack([np.stack(some[c].to_list()) for c in "rgba"], -1).reshape(len(some), h, w, 4)
+            out = of(stack.astype(np.int64)).astype(np.int32)
+            planes = {c: list(out[..., k].reshape(len(out), -1)) for k, c in enumerate("rgba")}
+            yield pd.DataFrame({"image_id": some["image_id"].to_list(), "width": out.shape[2], "height": out.shape[1]} | planes)
 
     return df.select("image_id", "width", "height", *"rgba").mapInPandas(run, SCHEMA)
 

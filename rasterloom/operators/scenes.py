@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import images, quilts
+from ..sources.tables import images, quilts, stacks
 
 #: The palettes of dithering.
 PALETTES = {
@@ -43,10 +43,9 @@ def whole_colours(planes: DataFrame) -> DataFrame:
 def stacked(df: DataFrame, of: Callable[[np.ndarray], dict[str, list]], schema: str) -> DataFrame:
     """of(stack of images x height x width x 3) gives columns, a value for each image; image_id comes first."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for (w, h), some in part.groupby(["width", "height"], sort=False):
-                stack = np.stack([np.stack(some[c].to_list()) for c in "rgb"], -1).reshape(len(some), h, w, 3)
-                yield pd.DataFrame({"image_id": some["image_id"].to_list()} | of(stack.astype(np.float32)))
+        for w, h, some in stacks(parts):
+            stack = np.stack([np.stack(some[c].to_list()) for c in "rgb"], -1).reshape(len(some), h, w, 3)
+            yield pd.DataFrame({"image_id": some["image_id"].to_list()} | of(stack.astype(np.float32)))
 
     return df.select("image_id", "width", "height", "r", "g", "b").mapInPandas(run, "image_id long, " + schema)
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..oracle import PX
-from ..sources.tables import images
+from ..sources.tables import images, stacks
 from .neighbourhood import as_pixels
 from .scenes import without_seams
 
@@ -20,10 +20,9 @@ from .scenes import without_seams
 def per_stack(df: DataFrame, of) -> DataFrame:
     """of(stack) for stacks (image, y, x) of samples of one size: image_id, width, height, v."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for (w, h), some in part.groupby(["width", "height"], sort=False):
-                out = of(np.stack(some["v"].to_list()).reshape(len(some), h, w).astype(np.int64)).astype(np.int32)
-                yield pd.DataFrame({"image_id": some["image_id"].to_list(), "width": out.shape[2], "height": out.shape[1], "v": list(out.reshape(len(out), -1))})
+        for w, h, some in stacks(parts):
+            out = of(np.stack(some["v"].to_list()).reshape(len(some), h, w).astype(np.int64)).astype(np.int32)
+            yield pd.DataFrame({"image_id": some["image_id"].to_list(), "width": out.shape[2], "height": out.shape[1], "v": list(out.reshape(len(out), -1))})
 
     return df.select("image_id", "width", "height", "v").mapInPandas(run, "image_id long, width int, height int, v array<int>")
 

@@ -128,3 +128,15 @@ def test_mirrors_are_symmetric():
     stack = picture(40, 40, 1)
     got = effects.mirrored(4)(stack)[0]
     assert (got[1:, 1:] == got[1:, 1:][::-1]).mean() > 0.95 and (got[1:, 1:] == got[1:, 1:][:, ::-1]).mean() > 0.95
+
+
+def test_stacks_stay_small_however_long_batches_are(spark):
+    def seen(stack):
+        assert len(stack) <= 256 and stack[..., 0].size <= max(1 << 20, stack[0, ..., 0].size)
+        return 255 - stack
+
+    names = "image_id, width, height, r, g, b, a".split(", ")
+    rows = [(k, w, 2, *[[k % 256] * w * 2] * 4) for k in range(1200) for w in [2 + k % 2]]
+    frame = spark.createDataFrame(rows, effects.SCHEMA).coalesce(1).select(*names)
+    got = {r.image_id: (r.width, list(r.b)) for r in effects.over_stacks(frame, seen).collect()}
+    assert got == {k: (2 + k % 2, [255 - k % 256] * (2 + k % 2) * 2) for k in range(1200)}
