@@ -1,21 +1,23 @@
 """Filters over a pixel's neighbourhood, and changes of geometry.
 
 A channel of an image (or of a tile of one, with its halo) is a row that holds width, height and an array of
-samples, row by row; images of any sizes and channels of any number stand in one table.  A result sample is an
-expression over a fixed number of taps, so an image is filtered where it lies: one narrow stage, no shuffle, and
+samples, row by row; images of any sizes and channels of any number stand in one table.  A result sample is, but for
+oil painting, an expression over a fixed number of taps, so an image is filtered where it lies: one narrow stage, no shuffle, and
 no join of pixels with their neighbours.  Work grows with samples times taps; images spread over tasks as rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from math import ceil, cos, exp, radians, sin
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..oracle import QUILTS, PX, byte as sql_byte, f, pick
-from ..sources.tables import byte, f32, images, quilts
+from ..sources.tables import byte, f32, images, quilts, stacks
 
 #: Weights row by row, divisor, offset.
 KERNELS = {
@@ -175,17 +177,40 @@ def binary_pattern(df: DataFrame) -> DataFrame:
     return mapped(df, of)
 
 
+def commonest(stack: np.ndarray, radius: int, bins: int) -> np.ndarray:
+    """oil_paint of a stack (image, y, x): each bin's samples are counted and added up over all squares at once."""
+    def around(v: np.ndarray) -> np.ndarray:
+        for axis in (1, 2):
+            size, room = v.shape[axis], [(radius, radius) if axis == k else (0, 0) for k in range(3)]
+            wide = np.pad(v, room)
+            v = sum(wide.take(range(d, d + size), axis) for d in range(2 * radius + 1))
+        return v
+
+    most, total = np.zeros_like(stack), np.zeros_like(stack)
+    for b in range(bins):
+        own = stack * bins // 256 == b
+        n = around(own.astype(stack.dtype))
+        more = n > most
+        most, total = np.where(more, n, most), np.where(more, around(np.where(own, stack, 0)), total)
+    return total // most
+
+
 def oil_paint(df: DataFrame, radius: int, bins: int) -> DataFrame:
-    """The whole mean of the commonest intensity bin of the neighbourhood inside the image; the lowest of equals."""
-    def of(v: Column, i: Column) -> Column:
-        near = F.array_compact(F.array(*[F.when(inside(i, dx, dy), tap(v, i, dx, dy)) for dx, dy in square(radius)]))
-        counted = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.aggregate(
-            near, F.struct(F.lit(0).alias("n"), (-b).alias("bin"), F.lit(0).alias("sum")),
-            lambda a, t: F.when(F.floor(t * bins / 256).cast("int") == b, F.struct((a["n"] + 1).alias("n"), a["bin"].alias("bin"), (a["sum"] + t).alias("sum"))).otherwise(a)))
-        best = F.array_max(counted)
-        return F.floor(best["sum"] / best["n"]).cast("int")
+    """The whole mean of the commonest intensity bin of the neighbourhood inside the image; the lowest of equals.
 
-    return mapped(df, of)
+    Some images of one size are stacked inside Arrow batches; an image without samples stays as it is.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for w, h, some in stacks(parts):
+            full = some["v"].map(lambda v: v is not None and len(v) > 0)
+            if not full.all():
+                yield some[~full]
+            if full.any():
+                some = some[full]
+                yield some.assign(v=list(commonest(np.stack(some["v"].to_list()).reshape(len(some), h, w).astype(np.int32), radius, bins).reshape(len(some), -1)))
+
+    return df.mapInPandas(run, df.schema)
 
 
 def resize(df: DataFrame, new_width: int, new_height: int) -> DataFrame:

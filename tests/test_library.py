@@ -12,6 +12,7 @@ from rasterloom.functions import text
 from rasterloom.functions.scalar import FUNCTIONS as fn
 from rasterloom.functions.scalar import register_python
 from rasterloom.operators.aggregates import hough
+from rasterloom.operators.neighbourhood import oil_paint
 from rasterloom.operators.sequential import carved, diffused, labelled
 from rasterloom.operators.timeline import SHOW, advanced
 from rasterloom.sources.codecs import read_pgm
@@ -221,3 +222,23 @@ def test_lines_by_votes_of_images_of_all_sizes_without_a_shuffle(spark):
     lines = hough(spark.createDataFrame([*rows, (99, 8, 8, None)], "image_id long, width int, height int, v array<int>"), 3)
     assert {tuple(r) for r in lines.collect()} == want
     assert "Exchange" not in lines._jdf.queryExecution().toString()
+
+
+def test_oil_paint_against_loops_on_odd_images(spark):
+    rng, rows = random.Random(2), []
+    for k, (w, h) in enumerate([(8, 8), (1, 1), (5, 2), (1, 6), (8, 8)]):
+        rows.append((k, "r", w, h, [rng.choice([0, 31, 32, 200, 255]) for _ in range(w * h)]))
+    frame = spark.createDataFrame([*rows, (9, "r", 0, 0, []), (10, "r", 8, 8, None)], "image_id long, channel string, width int, height int, v array<int>").coalesce(1)
+    painted = oil_paint(frame, 2, 8)
+    got = {r.image_id: r.v for r in painted.collect()}
+    assert got.pop(9) == [] and got.pop(10) is None and len(got) == len(rows)
+    for k, _, w, h, v in rows:
+        for y in range(h):
+            for x in range(w):
+                near = [v[j * w + i] for j in range(max(0, y - 2), min(h, y + 3)) for i in range(max(0, x - 2), min(w, x + 3))]
+                bins = Counter(t * 8 // 256 for t in near)
+                best = min(b for b in bins if bins[b] == max(bins.values()))
+                own = [t for t in near if t * 8 // 256 == best]
+                assert got[k][y * w + x] == sum(own) // len(own)
+    plan = painted._jdf.queryExecution().toString()
+    assert "MapInPandas" in plan and "Exchange" not in plan
