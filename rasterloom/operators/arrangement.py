@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,9 @@ from ..sources.tables import KEY, SIDE, pixels, table
 #: Fixed value: a palette of sixteen.
 PALETTE = tuple((r * (170 if not hi else 255), g * (170 if not hi else 255), b * (170 if not hi else 255)) for hi in (0, 1) for r in (0, 1) for g in (0, 1) for b in (0, 1))
 
+#: The most views whose points are worked out at once.
+MOST_VIEWS = 256
+
 
 def nearest(df: DataFrame, palette=PALETTE) -> DataFrame:
     """Number of the palette's nearest colour, the first of equals; the palette is a literal in the expression."""
@@ -55,20 +62,42 @@ def rectangle(df: DataFrame, x: int, y: int, width: int, height: int, color: tup
 
 
 def escapes(views: DataFrame, width: int = 24, height: int = 16, rounds: int = 40) -> DataFrame:
-    """view_id, x, y and the rounds of z * z + c until a point leaves the circle of radius 2; each point iterates within its row.
+    """view_id, x, y and the rounds of z * z + c until a point leaves the circle of radius 2; all points of some views iterate at once.
 
     views: view_id, left, top, step, and cr, ci: the c of a Julia set, whose points begin at their place; null for the
     Mandelbrot set, where a point's place is its c.
     """
-    place = F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))).alias("i")
-    at = views.select("*", place).select("view_id", "cr", "ci", (F.col("i") % width).alias("x"), F.floor(F.col("i") / width).cast("int").alias("y"), "left", "top", "step")
-    u, v = F.col("left") + F.col("x") * F.col("step"), F.col("top") + F.col("y") * F.col("step")
-    own = F.col("cr").isNull()
-    c_r, c_i = F.coalesce("cr", u), F.coalesce("ci", v)
-    begin = F.struct(F.when(own, 0.0).otherwise(u).alias("r"), F.when(own, 0.0).otherwise(v).alias("i"), F.lit(0).alias("n"))
-    step = lambda z, _: F.when(z["r"] * z["r"] + z["i"] * z["i"] > 4.0, z).otherwise(F.struct(
-        (z["r"] * z["r"] - z["i"] * z["i"] + c_r).alias("r"), (F.lit(2.0) * z["r"] * z["i"] + c_i).alias("i"), (z["n"] + 1).alias("n")))
-    return at.select("view_id", "x", "y", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, step)["n"].alias("n"))
+    k = np.arange(width * height)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, MOST_VIEWS):
+                some = batch.slice(at, MOST_VIEWS)
+                left, top, step, cr, ci = (some.column(c).to_numpy(zero_copy_only=False)[:, None] for c in range(1, 6))
+                own, other = (np.array(some.column(c).is_null())[:, None] for c in (4, 5))
+                u, v = left + k % width * step, top + k // width * step
+                n = rounds_inside(np.where(own, 0.0, u), np.where(own, 0.0, v), np.where(own, u, cr), np.where(other, v, ci), rounds)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(some.num_rows + 1) * k.size, pa.int32()), pa.array(n, pa.int32()))
+                yield pa.RecordBatch.from_arrays([some.column(0), lists], ["view_id", "n"])
+
+    # views are small rows, often of one small file, and the work of each is long
+    dealt = views.repartition(4 * views.sparkSession.sparkContext.defaultParallelism, "view_id")
+    numbers = [F.col(c).cast("double") for c in ("left", "top", "step", "cr", "ci")]
+    found = dealt.select("view_id", *numbers).mapInArrow(run, f"view_id {dict(views.dtypes)['view_id']}, n array<int>")
+    return found.select("view_id", F.posexplode("n").alias("i", "n")).select("view_id", (F.col("i") % width).alias("x"), F.floor(F.col("i") / width).cast("int").alias("y"), "n")
+
+
+def rounds_inside(r: np.ndarray, i: np.ndarray, c_r: np.ndarray, c_i: np.ndarray, rounds: int) -> np.ndarray:
+    """The rounds of z * z + c from z = r + i until it is outside, for each point; those outside are left out of later rounds."""
+    n = np.zeros(r.size, np.int32)
+    r, i, c_r, c_i, still = r.ravel(), i.ravel(), c_r.ravel(), c_i.ravel(), np.arange(r.size)
+    for _ in range(rounds):
+        inside = r * r + i * i <= 4.0
+        if not inside.all():
+            r, i, c_r, c_i, still = (a[inside] for a in (r, i, c_r, c_i, still))
+        n[still] += 1
+        r, i = r * r - i * i + c_r, 2.0 * r * i + c_i
+    return n
 
 
 def views(s, d, julia: bool) -> DataFrame:

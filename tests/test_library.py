@@ -12,6 +12,7 @@ from rasterloom.functions import text
 from rasterloom.functions.scalar import FUNCTIONS as fn
 from rasterloom.functions.scalar import register_python
 from rasterloom.operators.aggregates import hough
+from rasterloom.operators.arrangement import escapes
 from rasterloom.operators.neighbourhood import oil_paint
 from rasterloom.operators.sequential import carved, diffused, labelled
 from rasterloom.operators.timeline import SHOW, advanced
@@ -242,3 +243,20 @@ def test_oil_paint_against_loops_on_odd_images(spark):
                 assert got[k][y * w + x] == sum(own) // len(own)
     plan = painted._jdf.queryExecution().toString()
     assert "MapInPandas" in plan and "Exchange" not in plan
+
+
+def test_points_escape_as_one_by_one_and_views_of_one_file_are_dealt_out(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.uniform(-2, 0), rng.uniform(-1, 0), 0.15, *(rng.uniform(-1, 1) if k % 2 else None for _ in "ri")) for k in range(600)]
+    found = escapes(spark.createDataFrame(rows, "view_id long, left double, top double, step double, cr double, ci double").coalesce(1), 5, 4, 30)
+    got = {(r.view_id, r.x, r.y): r.n for r in found.collect()}
+    assert len(got) == 600 * 20
+    for k, left, top, step, cr, ci in rows:
+        for x in range(5):
+            for y in range(4):
+                u, v = left + x * step, top + y * step
+                (r, i), (c, d), n = ((0.0, 0.0), (u, v), 0) if cr is None else ((u, v), (cr, ci), 0)
+                while n < 30 and r * r + i * i <= 4.0:
+                    r, i, n = r * r - i * i + c, 2.0 * r * i + d, n + 1
+                assert got[k, x, y] == n
+    assert found.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
